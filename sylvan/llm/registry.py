@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import decontamination, mixing
+from sylvan.llm import decontamination, jaccard, mixing, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard": jaccard.op1_jaccard,
+        "op4_topk": topk.op4_topk,
         "op8_mixing": mixing.op8_mixing,
         "op10_decontamination": decontamination.op10_decontamination,
     }
@@ -18,5 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard": jaccard.SQL,
+        "op4_topk": topk.SQL,
         "op10_decontamination": decontamination.SQL,
     }
