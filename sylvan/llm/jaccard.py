@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import as_bytes, discard, map_batches, materialize, table, words_of
@@ -52,7 +52,9 @@ class JoinParams:
     size: int = 5
     percent: int = 80
     #: A region's remaining pairs are compared at once when all regions have at most this many for each row left.
-    pairs_per_row: int = 4
+    pairs_per_row: int = 16
+    #: Pivots of a region grow by this factor from round to round.
+    more_pivots: int = 8
 
 
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
@@ -194,6 +196,16 @@ def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(open_ones, "region", "left_semi")
 
 
+def _pivots(regions: DataFrame, many: int) -> DataFrame:
+    """At most ``many`` documents of each region, of different components, those of small components first."""
+    best = F.min(F.struct((~F.col("short")).alias("late"), "doc", "n", "pos", "short", "label")).alias("p")
+    if many == 1:
+        return regions.groupBy("region").agg(best).select("region", "p.*")
+    heads = regions.groupBy("region", "label").agg(best, F.count("*").alias("size")).drop("label")
+    rank = F.row_number().over(Window.partitionBy("region").orderBy("size", "p.doc"))
+    return heads.withColumn("rank", rank).where(F.col("rank") <= many).select("region", "p.*")
+
+
 def _free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are gone."""
     gc.collect()
@@ -226,10 +238,11 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
 
     links: list[DataFrame] = []
     labels: DataFrame | None = None
-    current = _labelled(regions, None)
+    current, many = _labelled(regions, None), 1
     while True:
-        # each region's pivot, and the documents that may link to it
-        pivots = current.groupBy("region").agg(F.min(F.struct((~F.col("short")).alias("late"), "doc", "n", "pos", "short", "label")).alias("p")).select("region", "p.*")
+        # each region's pivots, and the documents that may link to them
+        pivots = _pivots(current, many)
+        many *= p.more_pivots
         near = current.alias("x").join(pivots.alias("p"), "region").where("x.doc <> p.doc and x.label <> p.label and " + fits("x", "p"))
         pairs = materialize(near.groupBy(F.col("x.doc").alias("a"), F.col("p.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-pairs")
         nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
@@ -243,7 +256,9 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
         discard(pairs)
         # the pivots are done with; each other document keeps its distance to them
         known = first.unionByName(second).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
-        left = current.drop("d", "pivot").join(pivots.select("region", F.col("doc").alias("pivot")), "region").where("doc <> pivot").join(known, ["doc", "pivot"], "left")
+        rest = current.drop("d").join(pivots.select("region", "doc"), ["region", "doc"], "left_anti")
+        ring = pivots.groupBy("region").agg(F.min("doc").alias("pivot"))
+        left = rest.join(ring, "region").join(known, ["doc", "pivot"], "left").drop("pivot")
         after = materialize(_labelled(left, labels), "jaccard-regions")
         discard(regions)
         regions = current = after
