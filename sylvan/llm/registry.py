@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import decontamination, jaccard, mixing, topk
+from sylvan.llm import decontamination, jaccard, langid, lattice, linededup, mixing, topk, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": jaccard.op1_jaccard,
+        "op2_langid": langid.op2_langid,
         "op4_topk": topk.op4_topk,
+        "op5_lattice": lattice.op5_lattice,
+        "op6_linededup": linededup.op6_linededup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_mixing": mixing.op8_mixing,
+        "op9_wrappers": wrappers.op9_wrappers,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
