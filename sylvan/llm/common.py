@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of a text column: memory then follows no batch size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most_bytes:
+            yield batch.slice(start, k + 1 - start)
+            start, held = k + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -74,3 +89,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def words_of(text: bytes) -> list[bytes]:
     """A-Z lower-cased, cut at white space: bytes.lower and bytes.split do exactly that for ASCII and leave the rest."""
     return text.lower().split()
+
+
+#: Words of 64 bits of the bitmap by which wanted rows are found again.
+BITMAP_WORDS = 1 << 16
+
+
+def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a long, is in ``wanted``: few others are shuffled with their texts, as they must
+    first pass a bitmap of the wanted keys' hashes, broadcast at BITMAP_WORDS rows at most."""
+    h = F.xxhash64(key, F.lit(3))
+    slot = F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    some = rows.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
+    return some.join(wanted, key, "left_semi")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

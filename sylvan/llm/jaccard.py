@@ -29,7 +29,6 @@ none; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import as_bytes, discard, map_batches, materialize, table, words_of
+from sylvan.llm.common import as_bytes, discard, free_shuffles, map_batches, materialize, table, wanted_rows, words_of
 
 #: Odd multipliers of the rolling mix, and the sketch's sizes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,7 +51,7 @@ class JoinParams:
     size: int = 5
     percent: int = 80
     #: A region's remaining pairs are compared at once when all regions have at most this many for each row left.
-    pairs_per_row: int = 16
+    pairs_per_row: int = 256
     #: Pivots of a region grow by this factor from round to round.
     more_pivots: int = 8
 
@@ -206,12 +205,6 @@ def _pivots(regions: DataFrame, many: int) -> DataFrame:
     return heads.withColumn("rank", rank).where(F.col("rank") <= many).select("region", "p.*")
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are gone."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     p, spark = params or JoinParams(), documents.sparkSession
@@ -221,13 +214,10 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
     groups = materialize(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-groups")
     windows = _windows(texts, _sketch(digests), p).where("n > 0").join(groups.where("rep is not null"), F.col("doc_id") == F.col("rep"), "left_semi")
     spread = windows.select(F.col("doc_id").alias("doc"), "n", "shorts", F.posexplode("regions").alias("pos", "region")).select("region", "doc", "n", "pos", (F.col("pos") < F.col("shorts")).alias("short"))
-    spread = materialize(spread, "jaccard-windows")
-    shared = spread.groupBy("region").agg(F.count("*").alias("k"), F.max("short").alias("any")).where("k > 1 and any").select("region")
-    regions = materialize(spread.join(shared, "region", "left_semi"), "jaccard-regions")
-    discard(spread)
-    _free(spark)
-    members = regions.select(F.col("doc").alias("doc_id")).distinct()
-    sets = materialize(_sets(texts.join(members, "doc_id", "left_semi"), p.size), "jaccard-sets")
+    together = Window.partitionBy("region")
+    spread = spread.withColumn("k", F.count("*").over(together)).withColumn("any", F.max("short").over(together)).where("k > 1 and any").drop("k", "any")
+    regions = materialize(spread, "jaccard-regions")
+    free_shuffles(spark)
 
     def fits(a: str, b: str) -> str:
         """Sizes and positions allow the overlap, and the smaller side is there by its short window."""
@@ -236,47 +226,57 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
             f" and (100 + {p.percent}) * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {p.percent} * ({a}.n + {b}.n)"
         )
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "jaccard-pairs")
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = materialize(_sets(wanted_rows(texts, wanted, "doc_id"), p.size), "jaccard-sets")
+        out = materialize(_verified(pairs, sets, p.percent), "jaccard-verified")
+        discard(pairs)
+        discard(sets)
+        free_shuffles(spark)
+        return out
+
     links: list[DataFrame] = []
     labels: DataFrame | None = None
     current, many = _labelled(regions, None), 1
     while True:
         # each region's pivots, and the documents that may link to them
         pivots = _pivots(current, many)
-        many *= p.more_pivots
         near = current.alias("x").join(pivots.alias("p"), "region").where("x.doc <> p.doc and x.label <> p.label and " + fits("x", "p"))
-        pairs = materialize(near.groupBy(F.col("x.doc").alias("a"), F.col("p.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-pairs")
+        pairs = materialize(near.groupBy(F.col("x.doc").alias("a"), F.col("p.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-near")
         nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
-        first = materialize(_verified(nearest, sets, p.percent), "jaccard-verified")
-        links.append(first.where("linked").select("a", "b"))
+        known = verified(nearest)
+        links.append(known.where("linked").select("a", "b"))
         labels = _union_components(links)
-        rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels)
-        second = materialize(_verified(rest, sets, p.percent), "jaccard-verified")
-        links.append(second.where("linked").select("a", "b"))
-        labels = _union_components(links)
-        discard(pairs)
-        # the pivots are done with; each other document keeps its distance to them
-        known = first.unionByName(second).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
-        rest = current.drop("d").join(pivots.select("region", "doc"), ["region", "doc"], "left_anti")
+        left = current
+        if many > 1:  # compare with the other pivots too; then these are done with
+            others = verified(_apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels))
+            links.append(others.where("linked").select("a", "b"))
+            labels = _union_components(links)
+            known = known.unionByName(others)
+            left = current.join(pivots.select("region", "doc"), ["region", "doc"], "left_anti")
         ring = pivots.groupBy("region").agg(F.min("doc").alias("pivot"))
-        left = rest.join(ring, "region").join(known, ["doc", "pivot"], "left").drop("pivot")
+        known = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
+        left = left.drop("d").join(ring, "region").join(known, ["doc", "pivot"], "left").drop("pivot")
         after = materialize(_labelled(left, labels), "jaccard-regions")
+        discard(pairs)
         discard(regions)
         regions = current = after
-        _free(spark)
+        free_shuffles(spark)
+        many *= p.more_pivots
         per = current.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"))
         held = per.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2)).first()
         if not held[0]:
             break
         if held[1] <= p.pairs_per_row * held[0]:
-            ring = F.expr(f"x.d is null or y.d is null or abs(x.d - y.d) * 100 <= {100 - p.percent} + 1e-6")
-            pairs = current.alias("x").join(current.alias("y"), "region").where("x.doc < y.doc and x.label <> y.label and " + fits("x", "y")).where(ring).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-            last = materialize(_verified(pairs, sets, p.percent), "jaccard-verified")
-            links.append(last.where("linked").select("a", "b"))
+            # inside the ring around the region's pivot
+            inside = F.expr(f"x.d is null or y.d is null or abs(x.d - y.d) * 100 <= {100 - p.percent} + 1e-6")
+            pairs = current.alias("x").join(current.alias("y"), "region").where("x.doc < y.doc and x.label <> y.label and " + fits("x", "y")).where(inside).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+            links.append(verified(pairs).where("linked").select("a", "b"))
             labels = _union_components(links)
             break
     labels = materialize(labels, "jaccard-labels")
-    for done in (sets, regions):
-        discard(done)
+    discard(regions)
     named = groups.join(labels, groups["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(named, ["h1", "h2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")))

@@ -26,13 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import discard, materialize, table
+from sylvan.llm.common import discard, free_shuffles, materialize, table, wanted_rows
 from sylvan.llm.jaccard import components
 
-#: Words of 64 bits of the bitmap that finds lines again.
-BITMAP_WORDS = 1 << 16
-
-
 @dataclass(frozen=True)
 class LineParams:
     errors: int = 2
@@ -107,15 +103,6 @@ def _lines(documents: DataFrame, p: LineParams) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
 
 
-def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, line) of the wanted hashes: a bitmap of BITMAP_WORDS words, no more, is broadcast and passes few others."""
-    slot = F.pmod(F.shiftright("h1", 6), F.lit(BITMAP_WORDS))
-    bit = F.expr("shiftleft(1L, cast(h1 & 63 as int))")
-    bitmap = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
-    some = lines.select("h1", "line").withColumn("slot", slot).join(F.broadcast(bitmap), "slot").where(F.col("bits").bitwiseAND(bit) != 0).select("h1", "line")
-    return some.join(wanted, "h1", "left_semi").dropDuplicates(["h1"])
-
-
 def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> DataFrame:
     """(doc_id, drops): numbers, from 0, of the lines of each document that are copies of a line that stays."""
     p = params or LineParams()
@@ -130,11 +117,12 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     met = index.join(probes, "key").where("h1 <> p1").select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct()
     met = materialize(met, "lines-met")
     wanted = met.select(F.col("a").alias("h1")).unionByName(met.select(F.col("b").alias("h1"))).distinct()
-    texts = materialize(_texts_of(lines, wanted), "lines-texts")
+    texts = materialize(wanted_rows(lines.select("h1", "line"), wanted, "h1").dropDuplicates(["h1"]), "lines-texts")
     pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     links = materialize(pairs.where(within_edits(F.col("la"), F.col("lb"), p.errors)).select("a", "b"), "lines-links")
     discard(met)
     discard(texts)
+    free_shuffles(documents.sparkSession)
     groups = components(links)
     near = distinct.join(groups, distinct["h1"] == groups["node"]).select("h1", "h2", "at", "component")
     keeps = near.groupBy("component").agg(F.min("at").alias("keep"))
