@@ -27,6 +27,8 @@ thus no hot keys of the join.
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import as_bytes, fold_of, map_batches, materialize, table, words_of
+from sylvan.llm.common import as_bytes, fold_of, free_shuffles, materialize, slices, table, words_of
 
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -108,117 +110,114 @@ def _hash(text: str) -> int:
     return value
 
 
-def _char_logs(pieces: Pieces, code: int) -> tuple[float, list[int]]:
-    found = [len(pieces.names) + b for b in chr(code).encode("utf-8", "surrogatepass")]
-    return float(pieces.log[found].sum()), found
+def _byte_ids(pieces: Pieces, code: int) -> list[int]:
+    return [len(pieces.names) + b for b in chr(code).encode("utf-8", "surrogatepass")]
 
 
-def score_words(pieces: Pieces, words: list[str], counts: np.ndarray | None = None, longest_batched: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of the words; with counts, also the pieces' expected numbers in them."""
-    out = np.zeros(len(words))
-    expected = np.zeros(len(pieces.log))
+def score_words(models: list[Pieces], words: list[str], count: bool = False, longest_batched: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of the words under each model, a row for a model; if wanted, the pieces' expected numbers too."""
+    logs = np.array([m.log for m in models])
+    out = np.zeros((len(models), len(words)))
+    expected = np.zeros(logs.shape)
     marked = [MARK + w for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
         if n > longest_batched + 1:
             for r in rows:
-                out[r] = _one_word(pieces, marked[r], counts[r] if counts is not None else None, expected)
+                for k in range(len(models)):
+                    out[k, r] = _one_word(models[k], marked[r], expected[k] if count else None)
             continue
         codes = np.frombuffer("".join(marked[r] for r in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), n)
-        out[rows] = _same_length(pieces, codes, counts[rows] if counts is not None else None, expected)
-    return out + pieces.log[pieces.stop], expected
+        out[:, rows] = _same_length(models[0], logs, codes, expected if count else None)
+    return out + logs[:, models[0].stop][:, None], expected
 
 
-def _same_length(pieces: Pieces, codes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray) -> np.ndarray:
+def _same_length(pieces: Pieces, logs: np.ndarray, codes: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
+    """Forward (and backward) over all words and models at once, character by character."""
     many, n = codes.shape
     distinct, where = np.unique(codes, return_inverse=True)
-    logs = np.array([_char_logs(pieces, int(c))[0] for c in distinct])
-    single = logs[where].reshape(many, n)
-    single[:, 0] = NEVER  # the word mark is a piece's, not a byte's
-    wide = codes.astype(np.uint64) + np.uint64(1)
+    where = where.reshape(many, n)
+    ids = [_byte_ids(pieces, int(c)) for c in distinct]
+    single = np.array([logs[:, x].sum(axis=1) for x in ids]).T[:, where]  # model, word, place
+    single[:, :, 0] = NEVER  # the word mark is a piece's, not a byte's
+    wide = np.ascontiguousarray((codes.astype(np.uint64) + np.uint64(1)).T)
     edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for i in range(n):
         value = np.zeros(many, np.uint64)
         for j in range(i, min(i + pieces.longest, n)):
-            value = (value + wide[:, j]) * _P
+            value = (value + wide[j]) * _P
             value ^= value >> np.uint64(31)
             found = pieces.find(value)
             some = np.flatnonzero(found >= 0)
             if len(some):
                 edges[i, j + 1] = (some, found[some])
-    ahead = np.full((n + 1, many), NEVER)
+    shape = (n + 1, len(logs), many)
+    ahead = np.full(shape, NEVER)
     ahead[0] = 0
     for j in range(1, n + 1):
-        into = [ahead[j - 1] + single[:, j - 1]]
+        ahead[j] = ahead[j - 1] + single[:, :, j - 1]
         for i in range(max(0, j - pieces.longest), j):
             if (i, j) in edges:
                 some, found = edges[i, j]
-                part = np.full(many, NEVER)
-                part[some] = ahead[i, some] + pieces.log[found]
-                into.append(part)
-        ahead[j] = _logsum(into)
+                ahead[j][:, some] = np.logaddexp(ahead[j][:, some], ahead[i][:, some] + logs[:, found])
     total = ahead[n]
-    if counts is not None:
-        behind = np.full((n + 1, many), NEVER)
+    if expected is not None:
+        behind = np.full(shape, NEVER)
         behind[n] = 0
         for i in range(n - 1, -1, -1):
-            onto = [behind[i + 1] + single[:, i]]
+            behind[i] = behind[i + 1] + single[:, :, i]
             for j in range(i + 1, min(i + pieces.longest, n) + 1):
                 if (i, j) in edges:
                     some, found = edges[i, j]
-                    part = np.full(many, NEVER)
-                    part[some] = behind[j, some] + pieces.log[found]
-                    onto.append(part)
-            behind[i] = _logsum(onto)
-        for (i, j), (some, found) in edges.items():
-            share = np.exp(ahead[i, some] + pieces.log[found] + behind[j, some] - total[some]) * counts[some]
-            expected += np.bincount(found, share, minlength=len(expected))
-        by_char = np.zeros(len(distinct))
-        for i in range(n):
-            share = np.exp(np.minimum(ahead[i] + single[:, i] + behind[i + 1] - total, 0)) * counts
-            by_char += np.bincount(where.reshape(many, n)[:, i], share, minlength=len(distinct))
-        for code, mass in zip(distinct, by_char, strict=True):
-            for b in _char_logs(pieces, int(code))[1]:
-                expected[b] += mass
+                    behind[i][:, some] = np.logaddexp(behind[i][:, some], behind[j][:, some] + logs[:, found])
+        for k in range(len(logs)):
+            for (i, j), (some, found) in edges.items():
+                share = np.exp(ahead[i, k, some] + logs[k, found] + behind[j, k, some] - total[k, some])
+                expected[k] += np.bincount(found, share, minlength=expected.shape[1])
+            by_char = np.zeros(len(distinct))
+            for i in range(1, n):
+                by_char += np.bincount(where[:, i], np.exp(np.minimum(ahead[i, k] + single[k, :, i] + behind[i + 1, k] - total[k], 0)), minlength=len(distinct))
+            for x, mass in zip(ids, by_char, strict=True):
+                for b in x:
+                    expected[k, b] += mass
     return total
 
 
-def _logsum(parts: list[np.ndarray]) -> np.ndarray:
-    if len(parts) == 1:
-        return parts[0]
-    stack = np.array(parts)
-    most = stack.max(axis=0)
-    return most + np.log(np.exp(stack - most).sum(axis=0))
-
-
-def _one_word(pieces: Pieces, word: str, count: float | None, expected: np.ndarray) -> float:
+def _one_word(pieces: Pieces, word: str, expected: np.ndarray | None) -> float:
     n = len(word)
     edges: list[list[tuple[int, float, tuple[int, ...]]]] = []
     for i in range(n):
-        logs, found = _char_logs(pieces, ord(word[i]))
-        here = [(i + 1, logs, tuple(found))] if i else []
+        found = _byte_ids(pieces, ord(word[i]))
+        here = [(i + 1, float(pieces.log[found].sum()), tuple(found))] if i else []
         for j in range(i + 1, min(i + pieces.longest, n) + 1):
             k = pieces.index.get(word[i:j])
             if k is not None:
                 here.append((j, float(pieces.log[k]), (k,)))
         edges.append(here)
-    ahead = np.full(n + 1, -np.inf)
-    ahead[0] = 0
+    ahead = [-np.inf] * (n + 1)
+    ahead[0] = 0.0
     for i in range(n):
         for j, logs, _ in edges[i]:
-            ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs)
-    if count is not None:
-        behind = np.full(n + 1, -np.inf)
-        behind[n] = 0
+            ahead[j] = _plus(ahead[j], ahead[i] + logs)
+    if expected is not None:
+        behind = [-np.inf] * (n + 1)
+        behind[n] = 0.0
         for i in range(n - 1, -1, -1):
             for j, logs, _ in edges[i]:
-                behind[i] = np.logaddexp(behind[i], logs + behind[j])
+                behind[i] = _plus(behind[i], logs + behind[j])
         for i in range(n):
             for j, logs, found in edges[i]:
                 for k in found:
-                    expected[k] += count * np.exp(ahead[i] + logs + behind[j] - ahead[n])
-    return float(ahead[n])
+                    expected[k] += math.exp(ahead[i] + logs + behind[j] - ahead[n])
+    return ahead[n]
+
+
+def _plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a if b == -np.inf else a + math.log1p(math.exp(b - a))
 
 
 def _hash64(word: bytes) -> int:
@@ -242,7 +241,12 @@ def word_counts(documents: DataFrame, training: Column, kind: Column, kinds: int
         return pa.RecordBatch.from_arrays([words, pa.array([k for k, held in enumerate(counts) for _ in held], pa.int32()), pa.array([c for held in counts for c in held.values()], pa.int64())], names=["word", "k", "c"])
 
     rows = documents.select(F.col("text").cast("string").alias("text"), training.alias("learn"), kind.alias("k"))
-    found = map_batches(rows, run, "word string, k int, c long")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(run, slices(batch, 0))
+
+    found = rows.mapInArrow(parts, "word string, k int, c long")
     return found.groupBy("word").agg(*(F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(kinds)))
 
 
@@ -256,7 +260,7 @@ def expected_pieces(words: DataFrame, models: list[Pieces], p: LatticeParams) ->
             texts = np.array(block.column(0).to_pylist(), object)
             for k, pieces in enumerate(shared.value):
                 own = texts[np.asarray(block.column(k + 1)) > 0].tolist()
-                total[k] += score_words(pieces, own, np.ones(len(own)), p.longest_batched)[1]
+                total[k] += score_words([pieces], own, True, p.longest_batched)[1][0]
         kind, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[kind, piece])], names=["kind", "piece", "mass"])
 
@@ -266,7 +270,7 @@ def expected_pieces(words: DataFrame, models: list[Pieces], p: LatticeParams) ->
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator[pa.Table]:
     """Batches put together: words of one length are scored at once, so more of them cost less."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -287,10 +291,10 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
         sizes = documents.where(training & F.col(class_column).isNotNull()).groupBy(class_column).count()
         named = [x[0] for x in sizes.orderBy(F.desc("count"), class_column).limit(p.classes).collect()]
     kind = F.coalesce(*[F.when(F.col(class_column) == x, F.lit(k)) for k, x in enumerate(named)], F.lit(len(named)))
-    kinds = len(named) + 1
-    ends = np.zeros(kinds)
-    for k, count in documents.where(training).groupBy(kind.alias("k")).count().collect():
-        ends[k] = count
+    found = dict(documents.where(training).groupBy(kind.alias("k")).count().collect())
+    kinds = max([len(named), 1, *(k + 1 for k in found)])  # none for the others where there are none
+    kind = F.least(kind, F.lit(kinds - 1))
+    ends = np.array([found.get(k, 0) for k in range(kinds)], float)
     words = materialize(word_counts(documents, training, kind, kinds), "lattice-words")
     cs = [F.col(f"c{k}") for k in range(kinds)]
     every_c = sum(cs[1:], cs[0])
@@ -298,7 +302,8 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
     v_words, by_kind = counted[0], np.array(counted[1:], float).reshape(kinds, 4)
     n = int(by_kind[:, 0].sum() + ends.sum())
     v = v_words + (1 if ends.sum() else 0)
-    models = [Pieces.load(p.vocabulary) for _ in range(kinds)]
+    pieces = Pieces.load(p.vocabulary)
+    models = [copy.copy(pieces) for _ in range(kinds)]  # they share all but the weights
     for _ in range(p.rounds if v_words else 0):
         for k, mass in enumerate(expected_pieces(words, models, p)):
             mass[models[k].stop] += by_kind[k, 1]
@@ -314,22 +319,23 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
             texts = block.column(0).to_pylist()
             counts = np.array([np.asarray(block.column(k + 1)) for k in range(kinds)], float)
             logs = np.empty((len(texts), kinds), np.float32)
-            for k, pieces in enumerate(shared.value):
-                spelled, _ = score_words(pieces, texts, None, p.longest_batched)
+            spelled, _ = score_words(shared.value, texts, False, p.longest_batched)
+            for k in range(kinds):
                 seen = np.where(counts[k] > 0, np.log(np.maximum(counts[k] - discount[k], 1e-300) / total[k]), NEVER)
-                logs[:, k] = np.logaddexp(seen, np.log(free[k] / total[k]) + spelled) / np.log(10)
+                logs[:, k] = np.logaddexp(seen, np.log(free[k] / total[k]) + spelled[k]) / np.log(10)
             hashes = np.fromiter((_hash64(w.encode()) for w in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.sum(axis=0).astype(np.int64)), *(pa.array(logs[:, k]) for k in range(kinds))], names=["h", "c", *(f"lp{k}" for k in range(kinds))])
 
     scored = materialize(words.mapInArrow(score, "h long, c long, " + ", ".join(f"lp{k} float" for k in range(kinds))), "lattice-scored")
     common = scored.where(F.col("c") * p.frequent > n).toArrow().sort_by("h")
+    free_shuffles(spark)
     known = sc.broadcast([np.asarray(x) for x in common.columns])
     every = n + v + 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, cs, *lps = known.value
         facts = [np.ones(len(keys)), np.log10((cs + 1) / every), *lps]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             ids: dict[bytes, int] = {}
             coded = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in as_bytes(batch.column(2))]
             hashes = np.fromiter(map(_hash64, ids), np.int64, len(ids))
