@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import decontamination, jaccard, langid, lattice, linededup, mixing, topk, toxicity, wrappers
+from sylvan.llm import decontamination, jaccard, langid, lattice, linededup, mixing, quality, topk, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": jaccard.op1_jaccard,
         "op2_langid": langid.op2_langid,
+        "op3_quality": quality.op3_quality,
         "op4_topk": topk.op4_topk,
         "op5_lattice": lattice.op5_lattice,
         "op6_linededup": linededup.op6_linededup,
