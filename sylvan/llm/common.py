@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of most contracts: maximal runs of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,3 +111,17 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Array]], added: str) -> DataFrame:
+    """``df`` with the columns of the schema ``added``, which ``fn`` makes batch by batch of the columns ``reads``."""
+    at = [df.columns.index(c) for c in reads]
+    names = [part.split()[0] for part in added.split(", ")]
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(*(batch.column(k) for k in at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema)

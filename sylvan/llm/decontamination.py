@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import as_bytes, map_batches, materialize
+from sylvan.llm.common import append_columns, as_bytes, map_batches, materialize
 
 #: Bytes that are no word characters become a space, A-Z becomes a-z.
 _TO_WORDS = bytes(0x20 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -156,39 +156,40 @@ def _blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[WordA
 
 
 def scan_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 8, block_words: int = 100_000) -> DataFrame:
-    """Per row of documents: doc_id, text, n_words, hits (bit per word, packed) and items (ids as strings, sorted)."""
+    """The documents (with a string column text) with bench_words (their number), bench_hits (a bit per word, packed;
+    null for none) and bench_items (ids as strings, sorted)."""
     sc = documents.sparkSession.sparkContext
-    out = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = "doc_id long, text string, n_words long, hits binary, items array<string>"
-    out = out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    previous = False
-    for automaton in _blocks(benchmark, size, block_words):
-        if previous:
-            out = materialize(out, "decontamination")
-        previous = True
+    columns = documents.columns
+    out = documents
+    for number, automaton in enumerate(_blocks(benchmark, size, block_words)):
         shared = sc.broadcast(automaton)
 
-        def scan(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def scan(texts: pa.Array, before: pa.Array | None = None, items: pa.Array | None = None, shared=shared) -> list[pa.Array]:
             index = shared.value
-            counts, hits, items = [], [], []
-            for text, before, names in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            counts, hits, named = [], [], []
+            n = len(texts)
+            for text, bits, names in zip(as_bytes(texts), before.to_pylist() if before else [None] * n, items.to_pylist() if items else [()] * n, strict=True):
                 words = item_words(text)
                 hit, found = index.scan(words)
-                bits = np.packbits(hit)
-                if before:
-                    bits |= np.frombuffer(before, np.uint8)
+                packed = np.packbits(hit)
+                if bits:
+                    packed |= np.frombuffer(bits, np.uint8)
                 counts.append(len(words))
-                hits.append(bits.tobytes() if bits.any() else None)
-                items.append(sorted({*map(str, found), *(names or ())}))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hits", "items"])
+                hits.append(packed.tobytes() if packed.any() else None)
+                named.append(sorted({*map(str, found), *names}))
+            return [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(named, pa.list_(pa.string()))]
 
-        out = map_batches(out, scan, schema)
-    return out
+        if number:
+            out = materialize(out.select(*columns, F.col("bench_hits").alias("hits_before"), F.col("bench_items").alias("items_before")), "decontamination")
+        reads = ["text", "hits_before", "items_before"] if number else ["text"]
+        out = append_columns(out, reads, scan, "bench_words long, bench_hits binary, bench_items array<string>")
+    return out.select(*columns, "bench_words", "bench_hits", "bench_items")
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2) -> DataFrame:
     """The digest of op10: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    scanned = scan_benchmark(documents, benchmark, size)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = scan_benchmark(rows, benchmark, size)
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(2).to_pylist()]
@@ -197,7 +198,7 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, size: int =
         n = pa.array([len(x) for x in items], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), n, pa.array(shas)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = map_batches(scanned.select("doc_id", "n_words", "hits", "items"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = map_batches(scanned.select("doc_id", "bench_words", "bench_hits", "bench_items"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_items") >= least_items)
 
 
@@ -217,26 +218,27 @@ def remove_spans(text: bytes, hit: np.ndarray) -> bytes:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, coverage: float = 0.5) -> DataFrame:
-    """Documents (doc_id, text) without benchmark passages.
+    """The documents (with a string column text) without benchmark passages.
 
     A document that holds windows of ``least_items`` items, or of whose words more
     than ``coverage`` are hit, goes; in others each hit span is cut out.
     """
     scanned = scan_benchmark(documents, benchmark, size)
 
-    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = [], []
-        for doc, text, n, bits, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    def clean(texts: pa.Array, words: pa.Array, hits: pa.Array, items: pa.Array) -> list[pa.Array]:
+        kept, cleaned = [], []
+        for text, n, bits, named in zip(texts.to_pylist(), words.to_pylist(), hits.to_pylist(), items.to_pylist(), strict=True):
+            keep = True
             if bits:
                 hit = np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
-                if len(items) >= least_items or hit.sum() > coverage * n:
-                    continue
-                text = remove_spans(text.encode(), hit).decode()
-            ids.append(doc)
-            texts.append(text)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return map_batches(scanned, clean, "doc_id long, text string")
+                keep = len(named) < least_items and hit.sum() <= coverage * n
+                text = remove_spans(text.encode(), hit).decode() if keep else ""
+            kept.append(keep)
+            cleaned.append(text)
+        return [pa.array(kept, pa.bool_()), pa.array(cleaned, pa.string())]
+
+    done = append_columns(scanned, ["text", "bench_words", "bench_hits", "bench_items"], clean, "bench_keep boolean, bench_text string")
+    return done.where("bench_keep").select(*(F.col("bench_text").alias("text") if c == "text" else F.col(c) for c in documents.columns))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,19 +134,22 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
 
 
 def dedup_lines(documents: DataFrame, params: LineParams | None = None) -> DataFrame:
-    """A row per document: doc_id, text without the copies, n_lines, n_dropped."""
-    drops = duplicate_lines(documents, params).withColumnRenamed("doc_id", "dropped_of")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = rows.join(drops, rows["doc_id"].eqNullSafe(drops["dropped_of"]), "left")
+    """The documents with the copies taken out of text, and n_lines, n_dropped and n_left: the number of lines of at
+    least ``least_chars`` characters that stayed."""
+    p = params or LineParams()
+    drops = duplicate_lines(documents, p).select(F.col("doc_id").alias("dropped_of"), "drops")
+    both = documents.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_of")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drops", i)), "\n")
+    kept = F.filter(parts, lambda x, i: ~F.array_contains("drops", i))
+    names = [F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in documents.columns]
     return both.select(
-        "doc_id",
-        F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        *names,
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNotNull(), F.size(F.filter(kept, lambda x: F.char_length(x) >= p.least_chars))).cast("long").alias("n_left"),
     )
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return dedup_lines(rows).select("doc_id", "text", "n_lines", "n_dropped")
