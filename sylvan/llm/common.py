@@ -69,7 +69,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of a text column: memory then follows no batch size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
@@ -82,6 +82,12 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 12_000_000) ->
         yield batch.slice(start)
 
 
+def chunks(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batch in small ones: the JVM holds each outside its heap."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import as_bytes, fold_of, free_shuffles, materialize, slices, table, words_of
+from sylvan.llm.common import as_bytes, chunks, fold_of, free_shuffles, materialize, slices, table, words_of
 
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +244,8 @@ def word_counts(documents: DataFrame, training: Column, kind: Column, kinds: int
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from map(run, slices(batch, 0))
+            for part in slices(batch, 0):
+                yield from chunks(run(part))
 
     found = rows.mapInArrow(parts, "word string, k int, c long")
     return found.groupBy("word").agg(*(F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(kinds)))
@@ -324,7 +325,7 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
                 seen = np.where(counts[k] > 0, np.log(np.maximum(counts[k] - discount[k], 1e-300) / total[k]), NEVER)
                 logs[:, k] = np.logaddexp(seen, np.log(free[k] / total[k]) + spelled[k]) / np.log(10)
             hashes = np.fromiter((_hash64(w.encode()) for w in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.sum(axis=0).astype(np.int64)), *(pa.array(logs[:, k]) for k in range(kinds))], names=["h", "c", *(f"lp{k}" for k in range(kinds))])
+            yield from chunks(pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.sum(axis=0).astype(np.int64)), *(pa.array(logs[:, k]) for k in range(kinds))], names=["h", "c", *(f"lp{k}" for k in range(kinds))]))
 
     scored = materialize(words.mapInArrow(score, "h long, c long, " + ", ".join(f"lp{k} float" for k in range(kinds))), "lattice-scored")
     common = scored.where(F.col("c") * p.frequent > n).toArrow().sort_by("h")
@@ -352,29 +353,31 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
             rows, docs = batch.column(0), batch.column(1)
             # a document's own row has a key of its own that no word has: it spreads, and meets nothing
             own = np.fromiter((_hash64(b"\x00%d" % r) for r in rows.to_pylist()), np.int64, len(coded))
-            take, none = pa.array(rare_doc), pa.nulls(len(rare), pa.float64())
-            yield pa.RecordBatch.from_arrays(
+            # its sums go in one list, so that the rows of rare words stay narrow
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(coded) + 1, dtype=np.int32) * (1 + len(sums))), pa.array(np.column_stack([size + 1, *sums]).ravel()))
+            made = pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([rows, rows.take(take)]),
-                    pa.concat_arrays([docs, docs.take(take)]),
+                    pa.concat_arrays([rows, rows.take(pa.array(rare_doc))]),
+                    pa.concat_arrays([docs, pa.nulls(len(rare), pa.int64())]),
                     pa.array(np.concatenate([own, hashes[rare_word]])),
                     pa.concat_arrays([pa.nulls(len(coded), pa.int32()), pa.array(tf, pa.int32())]),
-                    pa.concat_arrays([pa.array(size + 1), pa.nulls(len(rare), pa.int64())]),
-                    *(pa.concat_arrays([pa.array(s), none]) for s in sums),
+                    pa.concat_arrays([lists, pa.nulls(len(rare), lists.type)]),
                 ],
-                names=["row", "doc_id", "h", "tf", "n_tokens", "known", "base", *(f"s{k}" for k in range(kinds))],
+                names=["row", "doc_id", "h", "tf", "own"],
             )
+            yield from chunks(made)
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "row long, doc_id long, h long, tf int, n_tokens long, known double, base double, " + ", ".join(f"s{k} double" for k in range(kinds))
-    joined = rows.mapInArrow(gather, schema).join(scored.where(F.col("c") * p.frequent <= n), "h", "left")
+    joined = rows.mapInArrow(gather, "row long, doc_id long, h long, tf int, own array<double>").join(scored.where(F.col("c") * p.frequent <= n), "h", "left")
     c = F.coalesce("c", F.lit(0))
     part = F.col("tf").isNotNull()
-    sums = joined.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(part, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(part, F.col("tf") * F.log10((c + 1) / F.lit(float(every)))).otherwise(F.col("base"))).alias("base"),
-        *(F.sum(F.when(part, F.col("tf") * F.col(f"lp{k}").cast("double")).otherwise(F.col(f"s{k}"))).alias(f"s{k}") for k in range(kinds)),
+    own = [F.get("own", F.lit(k)) for k in range(3 + kinds)]
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max(own[0]).cast("long").alias("n_tokens"),
+        F.sum(F.when(part, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(own[1])).alias("known"),
+        F.sum(F.when(part, F.col("tf") * F.log10((c + 1) / F.lit(float(every)))).otherwise(own[2])).alias("base"),
+        *(F.sum(F.when(part, F.col("tf") * F.col(f"lp{k}").cast("double")).otherwise(own[3 + k])).alias(f"s{k}") for k in range(kinds)),
     )
     end_logs = share + np.log10(np.maximum(ends, 1e-3) / total)
     by_class = [F.col(f"s{k}") + float(end_logs[k]) for k in range(kinds)]
