@@ -16,7 +16,8 @@ Jaccard distance is a metric, and pivots cut its space into regions:
    once their remaining pairs are few for the rows there are, the pairs inside
    the triangle-inequality ring |d(x, p) - d(y, p)| <= 1 - t are compared.
 
-Every candidate is verified on whole sets, so the result is exact up to
+Before that, counts of shingles by hash class refute most pairs that only share a
+passage, as they bound the overlap. Every other candidate is verified on whole sets, so the result is exact up to
 collisions of 64-bit shingle hashes. Equal sets are one representative from the
 start. Frequencies come from a count sketch of fixed size over all documents;
 it only orders shingles, and any order gives the same result.
@@ -44,6 +45,7 @@ from sylvan.llm.common import as_bytes, discard, free_shuffles, map_batches, mat
 #: Odd multipliers of the rolling mix, and the sketch's sizes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SKETCH_BITS, SLICES = 20, 64
+BINS = 512
 
 
 @dataclass(frozen=True)
@@ -141,13 +143,26 @@ def _windows(documents: DataFrame, sketch: np.ndarray, p: JoinParams) -> DataFra
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, bins, shingles): bins counts the shingles by their lowest bits, null where a count needs more than a byte."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [shingle_set(text, size) for text in as_bytes(batch.column(1))]
+        counts = [np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in parts]
+        bins = pa.array([c.astype(np.int8) if c.max() < 128 else None for c in counts], pa.list_(pa.int8()))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["doc_id", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in parts], pa.int32()), bins, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["doc_id", "n", "bins", "shingles"])
+
+    return map_batches(documents, run, "doc_id long, n int, bins array<tinyint>, shingles array<long>")
 
-    return map_batches(documents, run, "doc_id long, shingles array<long>")
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bins allow the overlap: no set is larger in common with another than the sum of its bins' minima."""
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba"))
+    other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
+    most = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
+    enough = F.coalesce((100 + percent) * most >= percent * (F.col("na") + F.col("nb")), F.lit(True))
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +245,12 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
         pairs = materialize(pairs, "jaccard-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = materialize(_sets(wanted_rows(texts, wanted, "doc_id"), p.size), "jaccard-sets")
-        out = materialize(_verified(pairs, sets, p.percent), "jaccard-verified")
+        near = materialize(_possible(pairs, sets, p.percent), "jaccard-near")
         discard(pairs)
+        free_shuffles(spark)
+        needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+        out = materialize(_verified(near, sets.join(needed, "doc_id", "left_semi"), p.percent), "jaccard-verified")
+        discard(near)
         discard(sets)
         free_shuffles(spark)
         return out
