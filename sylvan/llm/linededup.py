@@ -5,7 +5,8 @@ edits, are copies; of each connected group the first line in order of (doc_id,
 line number) stays. A line is cut into errors + 1 segments: a line within the
 distance holds one of them unchanged, at a place that its length bounds. So each
 distinct line is indexed under its segments and probes, for every length it may
-meet, the few substrings at those places. What meets is verified by a banded
+meet, the few substrings at those places. What meets, and whose counts of
+characters are close enough, is verified by a banded
 bit-parallel automaton: one machine word of 2 * errors + 1 diagonals for each
 number of errors, advanced by bit operations over the line's characters.
 
@@ -23,12 +24,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import discard, free_shuffles, materialize, table, wanted_rows
 from sylvan.llm.jaccard import components
 
+#: 16 classes of characters, of about equal use in European languages.
+BAG = ("eE", "aA", "nN", "tT", "iI", "oO", "rR", "sS", "hH", "lL", "dD", "cC", "uU", "bBfFgGjJkK", "mMpPqQvVwWxXyYzZ", " ")
+
+
 @dataclass(frozen=True)
 class LineParams:
     errors: int = 2
@@ -98,6 +103,24 @@ def within_edits(a: Column, b: Column, errors: int) -> Column:
     return F.when(gap.between(0, 2 * errors), F.call_function("shiftright", last, gap).bitwiseAND(F.lit(1)) == 1).otherwise(False)
 
 
+def _bag(line: Column) -> Column:
+    """How often each of BAG's classes of characters occurs, modulo 16, in 4 bits each."""
+    size, out = F.char_length(line), F.lit(0).cast("long")
+    for k, chars in enumerate(BAG):
+        n = (size - F.char_length(F.translate(line, chars, ""))).cast("long").bitwiseAND(F.lit(15))
+        out = out.bitwiseOR(F.shiftleft(n, 4 * k))
+    return out
+
+
+def _bag_distance(a: Column, b: Column) -> Column:
+    """At most twice the edit distance: an edit changes the numbers of two classes by one."""
+    out = F.lit(0)
+    for k in range(len(BAG)):
+        apart = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
+        out = out + F.least(apart, 16 - apart)
+    return out
+
+
 def _lines(documents: DataFrame, p: LineParams) -> DataFrame:
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("chars", F.char_length("line")).where(F.col("chars") >= p.least_chars)
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
@@ -112,12 +135,23 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     coded = lines.select("h1", "h2", first.alias("at"), "chars", _segment_keys(F.col("line"), F.col("chars"), p).alias("own"), _probe_keys(F.col("line"), F.col("chars"), p).alias("probes"))
     distinct = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("first"), F.count("*").alias("copies"))
     distinct = materialize(distinct.select("h1", "h2", "copies", "first.*"), "lines-distinct")
-    index = distinct.select("h1", F.explode("own").alias("key")).distinct()
-    probes = distinct.select(F.col("h1").alias("p1"), F.explode("probes").alias("key")).where("key is not null")
-    met = index.join(probes, "key").where("h1 <> p1").select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct()
-    met = materialize(met, "lines-met")
-    wanted = met.select(F.col("a").alias("h1")).unionByName(met.select(F.col("b").alias("h1"))).distinct()
-    texts = materialize(wanted_rows(lines.select("h1", "line"), wanted, "h1").dropDuplicates(["h1"]), "lines-texts")
+    index = distinct.select("h1", F.lit(True).alias("own"), F.explode("own").alias("key"))
+    probes = distinct.select("h1", F.lit(False).alias("own"), F.explode("probes").alias("key")).where("key is not null")
+    cell = Window.partitionBy("key")
+    several = (F.min("h1").over(cell) < F.max("h1").over(cell)) & F.max("own").over(cell)
+    cells = index.unionByName(probes).withColumn("several", several).where("several").drop("several")
+    cells = materialize(cells, "lines-cells")
+    free_shuffles(documents.sparkSession)
+    wanted = cells.select("h1").distinct()
+    texts = wanted_rows(lines.select("h1", "line"), wanted, "h1").dropDuplicates(["h1"])
+    texts = materialize(texts.withColumn("bag", _bag(F.col("line"))), "lines-texts")
+    free_shuffles(documents.sparkSession)
+    bags = cells.join(texts.select("h1", "bag"), "h1")
+    close = F.col("i.h1") != F.col("p.h1")
+    close = close & (_bag_distance(F.col("i.bag"), F.col("p.bag")) <= 2 * p.errors)
+    met = bags.where("own").alias("i").join(bags.where("not own").alias("p"), (F.col("i.key") == F.col("p.key")) & close)
+    met = materialize(met.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "lines-met")
+    discard(cells)
     pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     links = materialize(pairs.where(within_edits(F.col("la"), F.col("lb"), p.errors)).select("a", "b"), "lines-links")
     discard(met)
