@@ -290,9 +290,15 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
         if held[1] <= p.pairs_per_row * held[0]:
             # inside the ring around the region's pivot
             inside = F.expr(f"x.d is null or y.d is null or abs(x.d - y.d) * 100 <= {100 - p.percent} + 1e-6")
-            pairs = current.alias("x").join(current.alias("y"), "region").where("x.doc < y.doc and x.label <> y.label and " + fits("x", "y")).where(inside).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-            links.append(verified(pairs).where("linked").select("a", "b"))
+            pairs = current.alias("x").join(current.alias("y"), "region").where("x.doc < y.doc and x.label <> y.label and " + fits("x", "y")).where(inside)
+            pairs = materialize(pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-near")
+            # each document's nearest first: what these link needs no more comparing
+            nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
+            links.append(verified(nearest).where("linked").select("a", "b"))
             labels = _union_components(links)
+            links.append(verified(_apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels)).where("linked").select("a", "b"))
+            labels = _union_components(links)
+            discard(pairs)
             break
     labels = materialize(labels, "jaccard-labels")
     discard(regions)
