@@ -116,7 +116,7 @@ def _bag_distance(a: Column, b: Column) -> Column:
     """At most twice the edit distance: an edit changes the numbers of two classes by one."""
     out = F.lit(0)
     for k in range(len(BAG)):
-        apart = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
+        apart = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
         out = out + F.least(apart, 16 - apart)
     return out
 
