@@ -31,6 +31,8 @@ def group_by(df: DataFrame, keys: list[Column], aggregates: list[Column], order:
         if kind == "array":
             rows = rows.withColumn("key", F.explode(F.array_distinct("key")))
         rows = rows.where(F.col("key").isNotNull())
+    elif len(keys) == 1 and rows.schema["key"].dataType.typeName() == "array":
+        rows = rows.withColumn("key", F.coalesce("key", F.array()))  # nothing is the empty tuple
     return rows.groupBy(*names).agg(*aggregates, F.min(F.struct(*_order(order))).alias("first_at"))
 
 
