@@ -102,6 +102,8 @@ class LanguageModel:
             self.scripts[:, k] += np.bincount([script_of(w) for w in words], minlength=len(_NAMES))
 
     def finish(self) -> LanguageModel:
+        if not self.languages:
+            return self
         smooth = self.counts + self.p.smoothing
         logs = np.log(smooth / smooth.sum(axis=0))
         self.scores = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)

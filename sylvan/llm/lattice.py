@@ -354,7 +354,7 @@ def score_documents(documents: DataFrame, training: Column, params: LatticeParam
             # a document's own row has a key of its own that no word has: it spreads, and meets nothing
             own = np.fromiter((_hash64(b"\x00%d" % r) for r in rows.to_pylist()), np.int64, len(coded))
             # its sums go in one list, so that the rows of rare words stay narrow
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(coded) + 1, dtype=np.int32) * (1 + len(sums))), pa.array(np.column_stack([size + 1, *sums]).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(coded) + 1, dtype=np.int32) * (1 + len(sums))), pa.array(np.column_stack([size + 1, *sums]).astype(float).ravel()))
             made = pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([rows, rows.take(pa.array(rare_doc))]),

@@ -235,7 +235,7 @@ def content_rule(wrapper: list) -> dict:
         whole = slots(wrapper)
         while whole:
             best = max((c for c in node[5] if not c[1] & BOILER), key=slots, default=None)
-            if best is None or slots(best) < 0.7 * whole:
+            if best is None or best[1] & REPEATED or slots(best) < 0.7 * whole:
                 break
             path.append(best[0])
             node = best
