@@ -423,9 +423,94 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("doc_id", "node_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
+@query("tree_transform", "SELECT o_custkey::VARCHAR AS doc_id, '<orders>' || string_agg(CASE WHEN o_orderstatus = 'F' THEN '<done id=\"' || o_orderkey || '\">' || o_orderstatus || '</done>' ELSE '<order id=\"' || o_orderkey || '\">' || o_orderstatus || '</order>' END, '' ORDER BY o_orderkey) || '</orders>' AS text FROM orders GROUP BY 1")
+def tree_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over a tree: priorities go, the status element is unwrapped, finished orders are renamed."""
+    nodes = _order_trees(spark, sf_dir)
+    done = axes.step(axes.step(nodes.where("kind = 'text' and value = 'F'"), nodes, "parent", axes.node_test("status")), nodes, "parent").select("doc_id", "node_id", F.lit("done").alias("_name"))
+    marked = nodes.join(done.distinct(), ["doc_id", "node_id"], "left")
+    return trees.serialize(axes.transform_tree(marked, F.col("local") == "priority", F.col("local") == "status", F.col("_name")).drop("_name"))
+
+
+@query("tree_accumulator", "SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, 100 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders")
+def tree_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders count 1 when entered and 100 when left."""
+    nodes = _order_trees(spark, sf_dir)
+    is_order = F.col("local") == "order"
+    rows = axes.accumulate_tree(nodes, F.when(is_order, 1), F.when(is_order, 100)).where(is_order)
+    hundreds = F.floor((F.col("accumulator_before") - 1) / 101) * 100
+    return rows.select("doc_id", F.element_at("attrs", "id").alias("id"), (F.col("accumulator_before") - hundreds).cast("long").alias("before"), F.col("accumulator_after").cast("long").alias("after"))
+
+
+@query("tree_paths", None)
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axes.paths(_order_trees(spark, sf_dir))
+
+
+@query("tree_string_values", "SELECT o_custkey::VARCHAR AS doc_id, string_agg(o_orderstatus || o_orderpriority, '' ORDER BY o_orderkey) AS text FROM orders GROUP BY 1")
+def tree_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _order_trees(spark, sf_dir)
+    return axes.string_values(nodes.where("local = 'orders'"), nodes).select("doc_id", "text")
+
+
+@query("tree_snapshot", "SELECT o_custkey::VARCHAR AS doc_id, count(*) AS n, 'orders' AS top FROM orders GROUP BY 1")
+def tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _order_trees(spark, sf_dir)
+    rows = axes.snapshot(nodes.where("local = 'status'"), nodes)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("ancestors")[0]["local"]).alias("top"))
+
+
+@query("tree_ids", "SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 100 = 0")
+def tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id(): the orders with the ids wanted."""
+    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("value"))
+    return axes.by_id(wanted, _order_trees(spark, sf_dir)).select(F.element_at("attrs", "id").alias("id"))
+
+
+@query("json_to_xml", "SELECT event_id, '<map xmlns=\"http://www.w3.org/2005/xpath-functions\"><number key=\"k\">' || CAST(json_extract(props, '$.k') AS VARCHAR) || '</number></map>' AS xml, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS back FROM events")
+def json_to_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.functions import collections as C
+
+    xml = C.json_to_xml(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", xml.alias("xml")).withColumn("back", C.xml_to_json(F.col("xml")))
+
+
+@query("serialize_items", "SELECT p_partkey, '[\"' || replace(p_type, ' ', '\",\"') || '\"]' AS text FROM part")
+def serialize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("words"))
+    return trees.serialize_items(parts, "words", "adaptive").select("p_partkey", "text")
+
+
+@query("user_function", "SELECT p_partkey, p_size * p_size + 1 AS value FROM (SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part)")
+def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.plans.library import define_function
+
+    define_function("my:square-plus", ["x", "y"], "$x * $x + $y")
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", compile_row("my:square-plus(p_size, 1)", parts.schema).alias("value"))
+
+
+row("uris_and_unicode", "customer", {"c_custkey": ("c_custkey", None), "a": ("encode-for-uri(c_name)", None), "b": ("codepoints-to-string(string-to-codepoints(c_mktsegment))", None), "c": ("normalize-unicode(c_name)", None), "d": ("compare(c_mktsegment, 'furniture', 'http://www.w3.org/2005/xpath-functions/collation/html-ascii-case-insensitive')", "long"), "e": ("resolve-uri(c_mktsegment, 'http://x.example/a/')", None), "f": ("starts-with(iri-to-uri(c_name), 'Customer')", None)}, "SELECT c_custkey, replace(c_name, '#', '%23') AS a, c_mktsegment AS b, c_name AS c, CASE WHEN lower(c_mktsegment) < 'furniture' THEN -1 WHEN lower(c_mktsegment) > 'furniture' THEN 1 ELSE 0 END::BIGINT AS d, 'http://x.example/a/' || c_mktsegment AS e, starts_with(c_name, 'Customer') AS f FROM customer")
+
+
 # --- event time and streams
 
 
+@query("stream_accumulator", _SQL["accumulator"].replace("acc_before", "before").replace("acc_after", "after"))
+def stream_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accumulator over events as a stream: one state a user."""
+    import tempfile
+    import uuid
+
+    batch = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("decimal(18,4)").cast("double").alias("value"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sylvan-stream-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    batch.write.parquet(f"{folder}/in")
+    stream = records.read_records(spark, f"{folder}/in", batch.schema)
+    out = records.run_once(records.accumulate(stream, "user_id", "event_id", "value", "event_id"), folder)
+    return out.select("event_id", "user_id", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
+
+
 @query("tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")]).select("window_start", "event_type", "n")

@@ -142,3 +142,40 @@ def match_pattern(nodes: DataFrame, *steps: str) -> DataFrame:
         found = found.join(elements, on).withColumn("_top", F.col("_p")).drop("_d", "_i", "_p", "_l", "_s").dropDuplicates(["doc_id", "node_id", "_top"])
         loose = False
     return found.drop("_top", "_me").dropDuplicates(["doc_id", "node_id"])
+
+
+def accumulate_tree(nodes: DataFrame, start: Column, end: Column, initial: float = 0) -> DataFrame:
+    """A summing accumulator over a tree: ``start`` counts when a node is entered, ``end`` when it is left.
+
+    accumulator_before is the value once the node is entered, accumulator_after once it is left. Every node is
+    two events; one window runs over a document's events in the order in which a walk meets them.
+    """
+    last = F.col("node_id") + F.col("size")
+    enter = nodes.withColumns({"_at": F.col("node_id"), "_out": F.lit(0), "_deep": F.lit(0), "_v": F.coalesce(start, F.lit(0))})
+    leave = nodes.withColumns({"_at": last, "_out": F.lit(1), "_deep": -F.col("level"), "_v": F.coalesce(end, F.lit(0))})
+    w = Window.partitionBy("doc_id").orderBy("_at", "_out", "_deep").rowsBetween(Window.unboundedPreceding, 0)
+    events = enter.unionByName(leave).withColumn("_sum", F.lit(initial) + F.sum("_v").over(w))
+    values = events.groupBy("doc_id", "node_id").agg(F.max(F.when(F.col("_out") == 0, F.col("_sum"))).alias("accumulator_before"), F.max(F.when(F.col("_out") == 1, F.col("_sum"))).alias("accumulator_after"))
+    return nodes.join(values, ["doc_id", "node_id"])
+
+
+def transform_tree(nodes: DataFrame, drop: Column | None = None, unwrap: Column | None = None, rename: Column | None = None, attrs: Column | None = None) -> DataFrame:
+    """Rules over a whole tree in one pass: what matches ``drop`` goes with all inside it (deep-skip), what matches
+    ``unwrap`` goes alone (shallow-skip), elements get the name ``rename`` and the attributes ``attrs`` where those
+    are not null; all else is copied. Node ids stay, so that the result serialises in order."""
+    if drop is not None:
+        w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+        gone = F.max(F.when(drop, F.col("node_id") + F.col("size"))).over(w)
+        nodes = nodes.withColumn("_gone", gone).where("_gone is null or _gone < node_id").drop("_gone")
+    if unwrap is not None:
+        nodes = nodes.where(~F.coalesce(unwrap, F.lit(False)) | (F.col("kind") == "document"))
+    if rename is not None:
+        nodes = nodes.withColumn("local", F.when(F.col("kind") == "element", F.coalesce(rename, F.col("local"))).otherwise(F.col("local")))
+    return nodes.withColumn("attrs", F.coalesce(attrs, F.col("attrs"))) if attrs is not None else nodes
+
+
+def snapshot(context: DataFrame, nodes: DataFrame) -> DataFrame:
+    """fn:snapshot: each context node with the names and attributes of its ancestors, outermost first."""
+    up = step(context, nodes, "ancestor", F.col("kind") == "element")
+    spine = up.groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "local", F.to_json("attrs").alias("attrs")))), lambda x: F.struct(x["local"].alias("local"), x["attrs"].alias("attrs"))).alias("ancestors"))
+    return context.join(spine, ["doc_id", "node_id"], "left")

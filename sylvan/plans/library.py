@@ -290,7 +290,7 @@ _add("fn:round", (1, 2), "A", lambda v, p=None: Val(numeric.round_up(v.col, int(
 _add("fn:round-half-to-even", (1, 2), "C", lambda v, p=None: Val(numeric.round_half_even(v.col, int(const(p)) if p else 0), v.kind))
 _add("fn:number", 1, "A", lambda v: Val(numeric.number(v.col), "double"))
 _add("fn:format-integer", (2, 3), "P", lambda v, p, lang=None: Val(formats.format_integer(v.col, str(const(p, "picture"))), "string"))
-_add("fn:format-number", (2, 3), "P", lambda v, p, f=None: Val(formats.format_number(v.col, str(const(p, "picture"))), "string"))
+_add("fn:format-number", (2, 3), "P", lambda v, p, f=None: Val(formats.format_number(v.col, str(const(p, "picture")), formats.DECIMAL_FORMATS[str(const(f))] if f and f.kind != "empty" else None), "string"))
 for _name, _fn in {"acos": numeric.acos, "asin": numeric.asin, "atan": numeric.atan, "cos": numeric.cos, "exp": numeric.exp, "exp10": numeric.exp10, "log": numeric.log, "log10": numeric.log10, "sin": numeric.sin, "sqrt": numeric.sqrt, "tan": numeric.tan}.items():
     _add(f"math:{_name}", 1, "A" if _name.startswith("log") else "C", _math(_fn))
 _add("math:atan2", 2, "C", _math(numeric.atan2))
@@ -412,3 +412,12 @@ def reference(name: str, arity: int) -> Val:
 def register_function(name: str, arity: int, build: Callable[..., Val]) -> None:
     """A host function: ``build`` makes a Val of Vals."""
     _add(name if ":" in name else f"fn:{name}", arity, "D", build)
+
+
+def define_function(name: str, parameters: list[str], body: str) -> None:
+    """A user function by the text of its body; calls are inlined. Recursive ones have no plan."""
+    from sylvan.plans.parser import parse
+    from sylvan.plans.query import RowCompiler, Scope
+
+    tree = parse(body)
+    register_function(name, len(parameters), lambda *vs: RowCompiler().build(tree, Scope(dict(zip(parameters, vs, strict=True)))))

@@ -8,8 +8,11 @@ element. Kinds: document, element, text, comment, processing-instruction.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from urllib.parse import quote
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -26,10 +29,32 @@ _ARROW = pa.schema(
 HTML_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
+@dataclass(frozen=True)
+class Output:
+    """Serialization parameters."""
+
+    method: str = "xml"
+    indent: bool = False
+    omit_xml_declaration: bool = True
+    encoding: str = "UTF-8"
+    standalone: bool | None = None
+    doctype_public: str | None = None
+    doctype_system: str | None = None
+    cdata_section_elements: tuple[str, ...] = ()
+    suppress_indentation: tuple[str, ...] = ()
+    character_map: tuple[tuple[str, str], ...] = ()
+    normalization_form: str | None = None
+    byte_order_mark: bool = False
+    undeclare_prefixes: bool = False
+    escape_uri_attributes: bool = True
+    include_content_type: bool = True
+    html_version: str = "5"
+
+
 class _Builder:
     """Node rows of one document, in document order."""
 
-    def __init__(self, doc_id: str, strip_space: bool):
+    def __init__(self, doc_id: str, strip_space: bool | tuple[str, ...]):
         self.doc_id, self.strip = doc_id, strip_space
         self.rows: list[list] = []
         self.open: list[int] = []
@@ -47,7 +72,8 @@ class _Builder:
         if self.text:
             value = "".join(self.text)
             self.text.clear()
-            if not self.strip or value.strip(" \t\r\n"):
+            strip = self.rows[self.open[-1]][7] in self.strip if isinstance(self.strip, tuple) else self.strip
+            if not strip or value.strip(" \t\r\n"):
                 self.add("text", "", "", "", value, {})
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
@@ -133,8 +159,9 @@ def shred_html(doc_id: str, text: str, strip_space: bool = True) -> list[list]:
     return b.done()
 
 
-def shred(df: DataFrame, doc_id: Column, text: Column, html: bool = False, strip_space: bool = False, lenient: bool = False) -> DataFrame:
-    """Node rows of all documents; null texts have none. ``lenient``: malformed documents have none instead of failing."""
+def shred(df: DataFrame, doc_id: Column, text: Column, html: bool = False, strip_space: bool | tuple[str, ...] = False, lenient: bool = False) -> DataFrame:
+    """Node rows of all documents; null texts have none. ``strip_space``: leave out texts of white space, everywhere or
+    in the named elements. ``lenient``: malformed documents have none instead of failing."""
     parse = shred_html if html else shred_xml
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +182,11 @@ def shred(df: DataFrame, doc_id: Column, text: Column, html: bool = False, strip
     return df.select(doc_id.cast("string").alias("d"), text.cast("string").alias("t")).mapInArrow(run, SCHEMA)
 
 
-def serialize(nodes: DataFrame, method: str = "xml", indent: bool = False, declaration: bool = False) -> DataFrame:
-    """(doc_id, text): each document's rows written as xml, html or text; rows of a document are streamed in order."""
-    if method not in ("xml", "xhtml", "html", "text"):
-        raise ValueError(f"SEPM0016: no method {method}")
+def serialize(nodes: DataFrame, output: Output | str = "xml") -> DataFrame:
+    """(doc_id, text): each document's rows written as xml, xhtml, html or text; rows of a document are streamed in order."""
+    out = Output(output) if isinstance(output, str) else output
+    if out.method not in ("xml", "xhtml", "html", "text"):
+        raise ValueError(f"SEPM0016: no method {out.method}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, writer = None, None
@@ -167,7 +195,7 @@ def serialize(nodes: DataFrame, method: str = "xml", indent: bool = False, decla
                 if row["doc_id"] != doc:
                     if writer is not None:
                         yield _text_batch(doc, writer.close())
-                    doc, writer = row["doc_id"], _Writer(method, indent, declaration)
+                    doc, writer = row["doc_id"], _Writer(out)
                 writer.add(row)
         if writer is not None:
             yield _text_batch(doc, writer.close())
@@ -180,48 +208,90 @@ def _text_batch(doc: str, text: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([text], pa.string())], names=["doc_id", "text"])
 
 
+#: Attributes that hold URIs.
+URI_ATTRIBUTES = {"action", "archive", "background", "cite", "classid", "codebase", "data", "href", "longdesc", "profile", "src", "usemap"}
+_XML = "http://www.w3.org/XML/1998/namespace"
+
+
 class _Writer:
-    def __init__(self, method: str, indent: bool, declaration: bool):
-        self.method, self.indent = method, indent
-        self.out = ['<?xml version="1.0" encoding="UTF-8"?>'] if declaration and method in ("xml", "xhtml") else []
+    """Writes one document's rows as they come; an element is closed when a row beyond it comes."""
+
+    def __init__(self, o: Output):
+        self.o, self.html = o, o.method in ("html", "xhtml")
+        self.map = dict(o.character_map)
+        self.out = ["\ufeff"] if o.byte_order_mark else []
+        if o.method in ("xml", "xhtml") and not o.omit_xml_declaration:
+            alone = "" if o.standalone is None else f' standalone="{"yes" if o.standalone else "no"}"'
+            self.out.append(f'<?xml version="1.0" encoding="{o.encoding}"{alone}?>')
+        self.typed = not (o.doctype_system or o.doctype_public or o.method == "html")
         self.open: list[tuple[int, str]] = []  # last node inside, name
         self.scopes: list[dict[str, str]] = []
 
+    def _text(self, value: str) -> str:
+        if self.o.normalization_form:
+            value = unicodedata.normalize(self.o.normalization_form, value)
+        return "".join(self.map[c] if c in self.map else escape(c) for c in value) if self.map else escape(value)
+
+    def _attribute(self, name: str, value: str) -> str:
+        if self.html and self.o.escape_uri_attributes and name in URI_ATTRIBUTES:
+            value = "".join(c if " " <= c <= "~" else quote(c) for c in value)
+        return f' {name}="{self._text(value).replace(chr(34), "&quot;")}"'
+
+    def _doctype(self, name: str) -> None:
+        self.typed = True
+        o = self.o
+        if o.doctype_public:
+            self.out.append(f'<!DOCTYPE {name} PUBLIC "{o.doctype_public}"' + (f' "{o.doctype_system}"' if o.doctype_system else "") + ">")
+        elif o.doctype_system:
+            self.out.append(f'<!DOCTYPE {name} SYSTEM "{o.doctype_system}">')
+        elif o.html_version.startswith("5"):
+            self.out.append(f"<!DOCTYPE {name}>")
+
     def add(self, row: dict) -> None:
-        n, kind = row["node_id"], row["kind"]
+        n, kind, o = row["node_id"], row["kind"], self.o
         self._close(n)
         if kind == "document":
             return
-        if self.method == "text":
+        if o.method == "text":
             if kind == "text":
                 self.out.append(row["value"])
             return
-        raw = self.method == "html" and self.open and self.open[-1][1] in ("script", "style")
+        inside = self.open[-1][1] if self.open else ""
         if kind == "text":
-            self.out.append(row["value"] if raw else escape(row["value"]))
+            raw = o.method == "html" and inside in ("script", "style")
+            cdata = inside in o.cdata_section_elements
+            self.out.append(row["value"] if raw else "<![CDATA[" + row["value"].replace("]]>", "]]]]><![CDATA[>") + "]]>" if cdata else self._text(row["value"]))
         elif kind == "comment":
             self.out.append(f"<!--{row['value']}-->")
         elif kind == "processing-instruction":
-            self.out.append(f"<?{row['local']} {row['value']}{'>' if self.method == 'html' else '?>'}")
+            self.out.append(f"<?{row['local']} {row['value']}{'>' if o.method == 'html' else '?>'}")
         else:
-            name = f"{row['prefix']}:{row['local']}" if row["prefix"] else row["local"]
-            attrs = "".join(f" {k}={quoteattr(v)}" for k, v in row["attrs"] or ())
-            spaces = self._namespaces(row)
-            if self.indent and self.out and (not self.open or not self.out[-1].endswith("\n")):
-                self.out.append("\n" + "  " * len(self.open))
-            if row["size"] == 0:
-                if self.method == "html":
-                    self.out.append(f"<{name}{attrs}>" if name in HTML_VOID else f"<{name}{attrs}></{name}>")
-                else:
-                    self.out.append(f"<{name}{spaces}{attrs}/>")
-            else:
-                self.out.append(f"<{name}{spaces}{attrs}>")
-                self.open.append((n + row["size"], name))
-                self.scopes.append(dict(row["ns_in_scope"] or ()))
+            self._element(row)
+
+    def _element(self, row: dict) -> None:
+        o, n = self.o, row["node_id"]
+        name = f"{row['prefix']}:{row['local']}" if row["prefix"] else row["local"]
+        if not self.typed or (o.method == "html" and not self.open and o.doctype_system is None and name == "html" and not self.out):
+            self._doctype(name)
+        head = "".join(self._attribute(k, v) for k, v in row["attrs"] or ())
+        head = (self._namespaces(row) if o.method != "html" else "") + head
+        if o.indent and self.out and not any(x in o.suppress_indentation for _, x in self.open):
+            self.out.append("\n" + "  " * len(self.open))
+        void = name in HTML_VOID
+        if row["size"] == 0 and not (self.html and name == "head"):
+            self.out.append(f"<{name}{head}>" if o.method == "html" and void else f"<{name}{head}></{name}>" if self.html and not void else f"<{name}{head}/>")
+            return
+        self.out.append(f"<{name}{head}>")
+        if self.html and name == "head" and o.include_content_type:
+            self.out.append(f'<meta http-equiv="Content-Type" content="text/html; charset={o.encoding}"' + (">" if o.method == "html" else "/>"))
+        self.open.append((n + row["size"], name))
+        self.scopes.append(dict(row["ns_in_scope"] or ()))
 
     def _namespaces(self, row: dict) -> str:
-        here, above = dict(row["ns_in_scope"] or ()), self.scopes[-1] if self.scopes else {"xml": "http://www.w3.org/XML/1998/namespace"}
-        return "".join(f" xmlns{':' + p if p else ''}={quoteattr(u)}" for p, u in sorted(here.items()) if above.get(p) != u)
+        here, above = dict(row["ns_in_scope"] or ()), self.scopes[-1] if self.scopes else {"xml": _XML}
+        new = "".join(f" xmlns{':' + p if p else ''}={quoteattr(u)}" for p, u in sorted(here.items()) if above.get(p) != u)
+        gone = "".join(f' xmlns:{p}=""' for p in sorted(above) if p and p not in here) if self.o.undeclare_prefixes else ""
+        return new + gone
 
     def _close(self, n: int) -> None:
         while self.open and self.open[-1][0] < n:
@@ -233,6 +303,32 @@ class _Writer:
         return "".join(self.out)
 
 
+def serialize_items(items: DataFrame, column: str, method: str = "json", item_separator: str = "\n", indent: bool = False) -> DataFrame:
+    """The text of each row's value as json, or adaptive: strings quoted, maps and arrays in the path language's own form."""
+    value = F.col(column)
+    kind = items.schema[column].dataType
+    if method == "json":
+        text = F.to_json(value, {"pretty": str(indent).lower(), "ignoreNullFields": "false"}) if kind.typeName() in ("struct", "map", "array") else F.to_json(F.array(value))
+        text = text if kind.typeName() in ("struct", "map", "array") else F.substr(text, F.lit(2), F.char_length(text) - 2)
+        return items.withColumn("text", text)
+    if method != "adaptive":
+        raise ValueError(f"SEPM0016: no method {method}")
+
+    def adaptive(v: Column, t: object) -> Column:
+        name = t.typeName()
+        if name == "string":
+            return F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+        if name == "boolean":
+            return F.concat(v.cast("string"), F.lit("()"))
+        if name == "array":
+            return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: adaptive(x, t.elementType)), ","), F.lit("]"))
+        if name == "map":
+            return F.concat(F.lit("map{"), F.array_join(F.transform(F.map_entries(v), lambda e: F.concat(adaptive(e["key"], t.keyType), F.lit(":"), adaptive(e["value"], t.valueType))), ","), F.lit("}"))
+        return v.cast("string")
+
+    return items.withColumn("text", adaptive(value, kind))
+
+
 def attribute_rows(nodes: DataFrame) -> DataFrame:
     """The attribute axis as rows: the element's key with name and value."""
     return nodes.where("kind = 'element'").select("doc_id", "node_id", F.explode("attrs").alias("name", "value"))

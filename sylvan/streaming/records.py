@@ -20,7 +20,7 @@ class NotStreamable(ValueError):
     """XTSE3430"""
 
 
-def read_records(spark: SparkSession, path: str, schema: str, form: str = "parquet", row_tag: str | None = None, files_per_trigger: int = 16) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: object, form: str = "parquet", row_tag: str | None = None, files_per_trigger: int = 16) -> DataFrame:
     """Records from a folder of files as they arrive."""
     reader = spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_trigger)
     return (reader.option("rowTag", row_tag) if row_tag else reader).load(path)
@@ -116,3 +116,9 @@ def fork(df: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path
         batch.unpersist()
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_once(df: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there now, and read what it wrote (append mode, exactly once by its checkpoint)."""
+    df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
