@@ -55,16 +55,16 @@ def discard(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; None means no rows."""
+#: Rows that a function over texts gets at once: a worker's memory is theirs, not that of a batch.
+ROWS = 1000
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            elif out is not None:
-                yield out
+            yield from map(fn, chunks(batch, ROWS))
 
     return df.mapInArrow(run, schema)
 
@@ -127,7 +127,7 @@ def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Ar
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, ROWS)):
             made = fn(*(batch.column(k) for k in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import as_bytes, discard, free_shuffles, map_batches, materialize, table, wanted_rows, words_of
+from sylvan.llm.common import ROWS, as_bytes, chunks, discard, free_shuffles, map_batches, materialize, table, wanted_rows, words_of
 
 #: Odd multipliers of the rolling mix, and the sketch's sizes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,7 +80,7 @@ def _digests(documents: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, ROWS)):
             ns, marks = [], []
             for text in as_bytes(batch.column(1)):
                 found = shingle_set(text, size)
