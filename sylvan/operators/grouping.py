@@ -41,13 +41,28 @@ def numbered(groups: DataFrame) -> DataFrame:
     return ordinal(groups, ["first_at"], "group_no").drop("first_at")
 
 
-def ordinal(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """Positions from 1 in the given order: rows are dealt by range, ranked in each range, and ranges' sizes added up."""
-    ranged = df.repartitionByRange(*_order(order)).sortWithinPartitions(*_order(order)).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return ranged.join(base, "_part").withColumn(name, F.col("_base") + F.col("_in") + 1).drop("_part", "_in", "_base")
+def ordinal(df: DataFrame, order: list[str], name: str = "pos", ranges: int | None = None, sample: int = 20_000) -> DataFrame:
+    """Positions from 1 in the given order: ranks inside ranges of the order, plus the sizes of the ranges before.
+
+    The ranges' bounds come from a sample of at most about ``sample`` rows. They only balance the work: which range a
+    row is in follows from its values alone, so that every part of the plan, and every retry, agrees.
+    """
+    count = df.count()
+    ranges = ranges or max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 1000))
+    bounds = []
+    if ranges > 1:
+        keys = df.select(*_order(order)).sample(min(1.0, sample / count), seed=1).orderBy(*order).collect()
+        bounds = [keys[len(keys) * k // ranges] for k in range(1, ranges) if keys]
+    types = [df.schema[c].dataType for c in order]
+    points = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order, strict=True))) for b in bounds)) if bounds else None
+    own = F.struct(*(F.col(c).alias(c) for c in order))
+    cell = F.size(F.filter(points, lambda b: b <= own)) if bounds else F.lit(0)
+    rows = df.withColumn("_cell", cell)
+    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*_order(order)))
+    return rows.withColumn("_in", within).join(base, "_cell").withColumn(name, F.col("_base") + F.col("_in")).drop("_cell", "_in", "_base")
 
 
 def _window(partition: list[str] | None, order: list[str] | str) -> WindowSpec:
