@@ -34,7 +34,7 @@ STEP, SPAN = 1327217885, 1 << 31
 class MixParams:
     block: int = 1024
     repeats: int = 3
-    rows_per_bucket: int = 4096
+    rows_per_bucket: int = 512
     grid: int = 4096
     seed: int = 17
 
