@@ -16,25 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.functions import regex
-from sylvan.plans.query import XSD, castable_column, compile_row
+from sylvan.plans.query import INTEGER_RANGES, XSD, castable_column, compile_row
 from sylvan.plans.values import Val
 
-#: Ranges of the derived integer types.
-INTEGER_RANGES = {
-    "xs:byte": (-128, 127),
-    "xs:short": (-32768, 32767),
-    "xs:int": (-(2**31), 2**31 - 1),
-    "xs:long": (-(2**63), 2**63 - 1),
-    "xs:unsignedByte": (0, 255),
-    "xs:unsignedShort": (0, 65535),
-    "xs:unsignedInt": (0, 2**32 - 1),
-    "xs:nonNegativeInteger": (0, None),
-    "xs:positiveInteger": (1, None),
-    "xs:nonPositiveInteger": (None, 0),
-    "xs:negativeInteger": (None, -1),
-}
-
-
 @dataclass(frozen=True)
 class Simple:
     """A simple type: a base type with facets, a list of one, or a union of several."""

@@ -146,6 +146,18 @@ CASES = [
     ("seconds-from-dateTime(xs:dateTime('2024-02-29T10:20:30.5'))", Decimal("30.5")),
     ("format-dateTime(xs:dateTime('2024-02-09T15:04:05'), '[Y0001]-[M01]-[D01]')", "2024-02-09"),
     ("format-dateTime(xs:dateTime('2024-02-09T15:04:05'), '[D1o] [MNn] [Y], [h]:[m01] [PN]')", "9th February 2024, 3:04 PM"),
+    ("string(xs:dateTime('2024-01-31T00:00:00') + xs:yearMonthDuration('P1M'))", "2024-02-29T00:00:00"),
+    ("string(xs:dateTime('2024-01-01T00:00:00') + xs:dayTimeDuration('P1DT2H30M'))", "2024-01-02T02:30:00"),
+    ("hours-from-duration(xs:dayTimeDuration('-PT5H'))", -5),
+    ("days-from-duration(xs:dateTime('2024-03-01T00:00:00') - xs:dateTime('2024-02-01T00:00:00'))", 29),
+    ("'P1Y2M' castable as xs:yearMonthDuration", True),
+    ("'P' castable as xs:dayTimeDuration", False),
+    ("'300' castable as xs:unsignedByte", False),
+    ("'-1' castable as xs:nonNegativeInteger", False),
+    ("'a b' castable as xs:NCName", False),
+    ("'--02-29' castable as xs:gMonthDay", True),
+    ("xs:token('  a   b ')", "a b"),
+    ("xs:hexBinary('0aFF') = xs:hexBinary('0AFF')", True),
     ("exactly-one((5))", 5),
     ("zero-or-one(())", None),
     ("deep-equal((1,2), (1,2))", True),
