@@ -260,7 +260,7 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
     current, many = _labelled(regions, None), 1
     while True:
         # each region's pivots, and the documents that may link to them
-        pivots = _pivots(current, many)
+        pivots = materialize(_pivots(current, many), "jaccard-pivots")
         near = current.alias("x").join(pivots.alias("p"), "region").where("x.doc <> p.doc and x.label <> p.label and " + fits("x", "p"))
         pairs = materialize(near.groupBy(F.col("x.doc").alias("a"), F.col("p.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-near")
         nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
@@ -274,12 +274,12 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
             labels = _union_components(links)
             known = known.unionByName(others)
             left = current.join(pivots.select("region", "doc"), ["region", "doc"], "left_anti")
-        ring = pivots.groupBy("region").agg(F.min("doc").alias("pivot"))
+        ring = pivots.select("region", F.col("doc").alias("pivot")) if many == 1 else pivots.groupBy("region").agg(F.min("doc").alias("pivot"))
         known = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
         left = left.drop("d").join(ring, "region").join(known, ["doc", "pivot"], "left").drop("pivot")
         after = materialize(_labelled(left, labels), "jaccard-regions")
-        discard(pairs)
-        discard(regions)
+        for done in (pairs, pivots, regions):
+            discard(done)
         regions = current = after
         free_shuffles(spark)
         many *= p.more_pivots
