@@ -118,7 +118,7 @@ def search_block(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.nda
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(embeddings: DataFrame, k: int = 10, query_step: int = 100, query_block: int = 4096, width: int = 16) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 10, query_step: int = 100, query_block: int = 16384, width: int = 16) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows."""
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = vectors.where((F.col("vec_id") % query_step == 0) & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
