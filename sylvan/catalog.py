@@ -5,7 +5,7 @@ Each works on whole tables. Columns are cast to plain types, so that both sides
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +44,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables(Mapping):
+    """The tables of a folder as documents, each opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> tuple[DataFrame, list[str]]:
+        return table(self.spark, self.sf_dir, name), ORDER[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(ORDER)
+
+    def __len__(self) -> int:
+        return len(ORDER)
+
+    def __contains__(self, name: object) -> bool:
+        return name in ORDER
+
+
 def path(name: str, text: str, sql: str, columns: str | None = None) -> None:
     """A query in the path language over all tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = Query({t: (table(spark, sf_dir, t), keys) for t, keys in ORDER.items()}).run(text)
+        out = Query(Tables(spark, sf_dir)).run(text)
         return out.selectExpr(*columns.split("; ")) if columns else out
 
     query(name, sql)(run)

@@ -10,6 +10,7 @@ Nothing is sorted unless positions are asked for.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -499,7 +500,7 @@ class Rows:
 class Query:
     """Expressions over tables bound as documents."""
 
-    def __init__(self, tables: dict[str, tuple[DataFrame, list[str]]]):
+    def __init__(self, tables: Mapping[str, tuple[DataFrame, list[str]]]):
         self.tables, self.rows = tables, RowCompiler()
 
     def run(self, text: str) -> DataFrame:
