@@ -94,10 +94,16 @@ def money(x: str) -> Column:
 # --- grouping
 
 
-@query(FLAGSHIP, "SELECT o_custkey AS key, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, arg_min(o_orderpriority, o_orderkey) AS first_priority, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+@query(FLAGSHIP, "SELECT o_custkey AS key, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, max(o_totalprice) AS dearest, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
 def group_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = grouping.group_by(table(spark, sf_dir, "orders"), [F.col("o_custkey")], [F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"), grouping.first_of(F.col("o_orderpriority"), "o_orderkey").alias("first_priority")], "o_orderkey")
-    return groups.select("key", "n", "total", "first_priority", F.col("first_at.o_orderkey").alias("first_order"))
+    groups = grouping.group_by(table(spark, sf_dir, "orders"), [F.col("o_custkey")], [F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"), grouping.max_of(F.col("o_totalprice")).alias("dearest")], "o_orderkey")
+    return groups.select("key", "n", "total", "dearest", F.col("first_at.o_orderkey").alias("first_order"))
+
+
+@query("group_first_item", "SELECT o_custkey AS key, arg_min(o_orderpriority, o_orderkey) AS first_priority, arg_max(o_orderstatus, o_orderkey) AS last_status FROM orders GROUP BY o_custkey")
+def group_first_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [grouping.first_of(F.col("o_orderpriority"), "o_orderkey").alias("first_priority"), grouping.last_of(F.col("o_orderstatus"), "o_orderkey").alias("last_status")]
+    return grouping.group_by(table(spark, sf_dir, "orders"), [F.col("o_custkey")], made, "o_orderkey").drop("first_at")
 
 
 @query("group_json", "SELECT o_custkey AS key, '{\"n\":' || count(*) || ',\"first\":' || min(o_orderkey) || '}' AS json FROM orders GROUP BY o_custkey")

@@ -18,6 +18,11 @@ def _order(order: list[str] | str) -> list[Column]:
     return [F.col(c) for c in ([order] if isinstance(order, str) else order)]
 
 
+def _key(order: list[str] | str) -> Column:
+    columns = _order(order)
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
+
+
 def group_by(df: DataFrame, keys: list[Column], aggregates: list[Column], order: list[str] | str, composite: bool = False) -> DataFrame:
     """for-each-group group-by: an item is in one group for each distinct value of an array key, in none if it is empty.
 
@@ -33,7 +38,10 @@ def group_by(df: DataFrame, keys: list[Column], aggregates: list[Column], order:
         rows = rows.where(F.col("key").isNotNull())
     elif len(keys) == 1 and rows.schema["key"].dataType.typeName() == "array":
         rows = rows.withColumn("key", F.coalesce("key", F.array()))  # nothing is the empty tuple
-    return rows.groupBy(*names).agg(*aggregates, F.min(F.struct(*_order(order))).alias("first_at"))
+    by = [order] if isinstance(order, str) else order
+    if len(by) == 1:  # a plain minimum keeps to a hash aggregate
+        return rows.groupBy(*names).agg(*aggregates, F.min(by[0]).alias("_first")).withColumn("first_at", F.struct(F.col("_first").alias(by[0]))).drop("_first")
+    return rows.groupBy(*names).agg(*aggregates, F.min(F.struct(*_order(by))).alias("first_at"))
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -98,11 +106,11 @@ def members(order: list[str] | str, item: Column) -> Column:
 
 
 def first_of(item: Column, order: list[str] | str) -> Column:
-    return F.min_by(item, F.struct(*_order(order)))
+    return F.min_by(item, _key(order))
 
 
 def last_of(item: Column, order: list[str] | str) -> Column:
-    return F.max_by(item, F.struct(*_order(order)))
+    return F.max_by(item, _key(order))
 
 
 def sum_of(x: Column) -> Column:

@@ -161,6 +161,29 @@ class RowCompiler:
     def build(self, n: Node, s: Scope) -> Val:
         return getattr(self, "do_" + n.kind.replace("-", "_"))(n, s)
 
+    def condition(self, n: Node, s: Scope) -> Column:
+        """An expression as a filter: null counts as false there, so comparisons stay plain and reach the scan."""
+        if n.kind == "paren":
+            return self.condition(n.parts[0], s)
+        if n.kind == "logic":
+            a, b = (self.condition(p, s) for p in n.parts)
+            return a & b if n.name == "and" else a | b
+        if n.kind in ("general", "value"):
+            a, b = (self.build(p, s) for p in n.parts)
+            op = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}.get(n.name, n.name)
+            if "empty" not in (a.kind, b.kind) and not a.many and not b.many:
+                a, b, kind = comparable(a, b)
+                x, y = a.col, b.col
+                test = {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+                if kind == "double":  # NaN is Spark's greatest number, and equal to itself
+                    for v, wins in ((a, (">", ">=", "=", "<=")), (b, ("<", "<=", "=", ">="))):
+                        if v.const is None and op in wins and not (op == "=" and (a.const is not None or b.const is not None)):
+                            test = test & ~F.isnan(v.col)
+                return test
+            if not a.many and b.many and op == "=" and n.parts[1].kind == "paren" and all(p.kind == "literal" for p in n.parts[1].parts[0].parts) and a.kind not in NUMERIC:
+                return a.col.isin(*(p.name for p in n.parts[1].parts[0].parts))
+        return library.boolean(self.build(n, s)).col
+
     def do_literal(self, n: Node, s: Scope) -> Val:
         return literal(n.name, n.extra)
 
@@ -586,7 +609,7 @@ class Query:
             df = ordinal(rows.df, list(rows.order), "_pos")
             got = self.rows.build(test, inner.focus(rows.item, F.col("_pos")))
             return replace(rows, df=df.where(got.col).drop("_pos"))
-        return replace(rows, df=rows.df.where(library.boolean(self.rows.build(test, inner)).col))
+        return replace(rows, df=rows.df.where(self.rows.condition(test, inner)))
 
     def _joined(self, rows: Rows, other: Node, mine: Node | None, op: str | None, s: Scope, anti: bool) -> Rows:
         """A[x op B/y], or A[B[...]] with variables: a semi join, or an anti join where it is negated."""
@@ -650,7 +673,7 @@ class Query:
                 s = s.bind(**{name: self.rows.build(value, s)})
             body = body.parts[0]
         if body.kind == "if" and body.parts[2] == Node("sequence"):
-            df, body = df.where(library.boolean(self.rows.build(body.parts[0], s)).col), body.parts[1]
+            df, body = df.where(self.rows.condition(body.parts[0], s)), body.parts[1]
         if body.kind == "map-constructor":
             return df.select(*(self.rows.build(v, s).col.alias(str(k.name)) for k, v in body.extra))
         v = self.rows.build(body, s)

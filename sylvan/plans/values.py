@@ -74,7 +74,8 @@ def comparable(a: Val, b: Val) -> tuple[Val, Val, str]:
         kind = wider(a.kind, b.kind)
         if a.many or b.many or kind == "integer":
             return a, b, kind
-        return replace(a, col=as_number(a, kind)), replace(b, col=as_number(b, kind)), kind
+        a, b = (v if v.kind == kind else literal(float(v.const), kind) if kind == "double" and v.const is not None else replace(v, col=as_number(v, kind)) for v in (a, b))
+        return a, b, kind
     if a.kind == b.kind or "any" in (a.kind, b.kind):
         return a, b, a.kind
     for x, y, flip in ((a, b, False), (b, a, True)):

@@ -158,7 +158,17 @@ def test_paths_over_tables(spark):
     assert q.run("count(/t/row[g = /u/row[name = 'two']/g])").first()[0] == 3
     assert q.run("count(/t/row[not(g = /u/row/g)])").first()[0] == 4
     assert q.run("count(/t/row[g != /u/row/g])").first()[0] == 10
+    odd = Query({"t": (spark.createDataFrame([(1, float("nan")), (2, None), (3, 5.0)], "id long, v double"), ["id"])})
+    counts = {"v > 1": 1, "v >= 5": 1, "v = v": 1, "v < 9": 1, "v != 5": 1, "not(v = 5)": 2, "v gt 1 or v lt 1": 1, "v <= v": 1}
+    assert {p: odd.run(f"count(/t/row[{p}])").first()[0] for p in counts} == counts
     joined = q.run("for $a in /t/row, $b in /u/row[g = $a/g] return map{'id': $a/id, 'name': $b/name}")
     assert joined.count() == 6 and "CartesianProduct" not in joined._jdf.queryExecution().executedPlan().toString()
     assert q.run("every $a in /t/row satisfies $a/v >= 0").first()[0] is True
     assert q.run("exists(/t/row[v > 100])").first()[0] is False
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(10).select("id", F.col("id").cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    q = Query({"t": (spark.read.parquet(str(tmp_path / "t")), ["id"])})
+    plan = q.run("sum(/t/row[v > 3 and id < 8]/v)")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,3.0)" in plan and "LessThan(id,8)" in plan
