@@ -17,7 +17,15 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a function over texts gets at once: a worker's memory is theirs, not that of a batch.
+ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; from now on the session sends Python at most ROWS rows at once, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,10 +63,6 @@ def discard(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Rows that a function over texts gets at once: a worker's memory is theirs, not that of a batch.
-ROWS = 1000
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to the rows, some at a time."""
 

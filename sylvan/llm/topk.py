@@ -33,6 +33,8 @@ SCALE = 1024
 #: Float sums of whole numbers are exact below this.
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
+#: Rows that lie side by side in the vertical layout.
+BLOCK_ROWS = 8192
 
 
 def quantized(ids: list, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -106,10 +108,23 @@ def search_block(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {n: BlockSearch(ids, rows, k, width) for n, (ids, rows) in shared.value.items()}
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            if held:
+                block = pa.Table.from_batches(held).combine_chunks()
+                vectors = block.column(1).combine_chunks()
+                vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+                for n, (ids, rows) in quantized(block.column(0).to_pylist(), vectors).items():
+                    if n in found:
+                        found[n].add(ids, rows)
+                held.clear()
+
         for batch in batches:
-            for n, (ids, rows) in quantized(batch.column(0).to_pylist(), batch.column(1)).items():
-                if n in found:
-                    found[n].add(ids, rows)
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+                flush()
+        flush()
         for search in found.values():
             parts = [(q, i, s) for q, (ids, scores) in zip(search.ids, search.top, strict=True) for i, s in zip(ids, scores, strict=True)]
             if parts:
