@@ -195,10 +195,10 @@ def fit(documents: DataFrame, usable: Column, params: LangParams | None = None)
     chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= p.docs_per_language).select("doc_id").distinct()
     sample = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    labels, texts = sample.column("lang").to_pylist(), sample.column("text").to_pylist()
+    labels = sample.column("lang").to_pylist()
     model = LanguageModel(p, sorted(set(labels)))
-    for label, text in zip(labels, texts, strict=True):
-        model.learn(label, text)
+    for label, text in zip(labels, sample.column("text"), strict=True):
+        model.learn(label, text.as_py())
     return model.finish()
 
 
