@@ -119,8 +119,10 @@ def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
+    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage.
+    The driver's own unused Arrow memory goes back too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 
