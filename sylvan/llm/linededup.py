@@ -12,7 +12,7 @@ number of errors, advanced by bit operations over the line's characters.
 
 Cases: null text stays null, without lines; empty and shorter lines stay where
 they are; a document all of whose lines go stays with an empty text here (the
-pipeline leaves it out); a null doc_id is last in order; rows that repeat a doc_id are
+pipeline leaves out documents that keep no line but blank ones); a null doc_id is last in order; rows that repeat a doc_id are
 one document, cleaned alike; other columns are not read. Lines are told apart by 128
 bits of hash, near lines by 64.
 
@@ -33,6 +33,9 @@ from sylvan.llm.jaccard import components
 #: 16 classes of characters, of about equal use in European languages.
 BAG = ("eE", "aA", "nN", "tT", "iI", "oO", "rR", "sS", "hH", "lL", "dD", "cC", "uU", "bBfFgGjJkK", "mMpPqQvVwWxXyYzZ", " ")
 
+#: A line that has more than white space.
+NOT_BLANK = r"\S"
+
 
 @dataclass(frozen=True)
 class LineParams:
@@ -168,8 +171,8 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
 
 
 def dedup_lines(documents: DataFrame, params: LineParams | None = None) -> DataFrame:
-    """The documents with the copies taken out of text, and n_lines, n_dropped and n_left: the number of lines of at
-    least ``least_chars`` characters that stayed."""
+    """The documents with the copies taken out of text, and n_lines, n_dropped and n_left: the number of lines that are
+    not blank, of any length, that stayed in a document that lost some."""
     p = params or LineParams()
     drops = duplicate_lines(documents, p).select(F.col("doc_id").alias("dropped_of"), "drops")
     both = documents.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_of")), "left")
@@ -180,7 +183,7 @@ def dedup_lines(documents: DataFrame, params: LineParams | None = None) -> DataF
         *names,
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNotNull(), F.size(F.filter(kept, lambda x: F.char_length(x) >= p.least_chars))).cast("long").alias("n_left"),
+        F.when(F.col("drops").isNotNull(), F.size(F.filter(kept, lambda x: x.rlike(NOT_BLANK)))).cast("long").alias("n_left"),
     )
 
 

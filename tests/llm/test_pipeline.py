@@ -30,3 +30,11 @@ def test_planted_cases(spark):
     assert lines[5] == "second has other things to say, too" and 6 not in lines and {1, 2, 3, 4, 7, 8, None} <= set(lines)
     near = sorted((r.doc_id for r in stages["n-gram Jaccard join"](spark, docs, SF).collect()), key=str)
     assert near == sorted([1, 3, 4, 5, 6, 7, 8, None], key=str)
+
+
+def test_short_lines_keep_their_document(spark):
+    line = "this very line stands in many documents of the corpus"
+    rows = [(1, line), (2, line + "\nroses are red\nviolets are blue"), (3, line + "\n\n \t"), (4, "一行诗\n" + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_copied_lines(spark, docs, SF).collect()}
+    assert got == {1: line, 2: "roses are red\nviolets are blue", 4: "一行诗"}
