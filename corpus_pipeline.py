@@ -32,7 +32,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are copies of an earlier one go, and documents that consisted of such lines (and blank ones)."""
-    return linededup.dedup_lines(_documents(docs)).where("n_left is null or n_left > 0").select(*_resized())
+    return linededup.dedup_lines(_documents(docs), linededup.ALL_LINES).where("n_left is null or n_left > 0").select(*_resized())
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

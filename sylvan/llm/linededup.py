@@ -1,8 +1,10 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 Lines of at least ``least_chars`` characters that are equal, or within ``errors``
-edits, are copies; of each connected group the first line in order of (doc_id,
-line number) stays. A line is cut into errors + 1 segments: a line within the
+edits, are copies; shorter ones, from ``least_equal`` characters on and not blank, are
+copies if they are equal. Of each connected group the first line in order of (doc_id,
+line number) stays. op6_linededup and the pipeline set ``least_equal`` to 1 (ALL_LINES): in
+a few characters, two edits make another line, so these need equality. A line is cut into errors + 1 segments: a line within the
 distance holds one of them unchanged, at a place that its length bounds. So each
 distinct line is indexed under its segments and probes, for every length it may
 meet, the few substrings at those places. What meets, and whose counts of
@@ -10,8 +12,8 @@ characters are close enough, is verified by a banded
 bit-parallel automaton: one machine word of 2 * errors + 1 diagonals for each
 number of errors, advanced by bit operations over the line's characters.
 
-Cases: null text stays null, without lines; empty and shorter lines stay where
-they are; a document all of whose lines go stays with an empty text here (the
+Cases: null text stays null, without lines; blank lines and lines shorter than both bounds
+stay where they are; a document all of whose lines go stays with an empty text here (the
 pipeline leaves out documents that keep no line but blank ones); a null doc_id is last in order; rows that repeat a doc_id are
 one document, cleaned alike; other columns are not read. Lines are told apart by 128
 bits of hash, near lines by 64.
@@ -41,6 +43,12 @@ NOT_BLANK = r"\S"
 class LineParams:
     errors: int = 2
     least_chars: int = 25
+    #: Characters of the shortest lines that go as exact copies; above least_chars it changes nothing.
+    least_equal: int = 25
+
+
+#: Exact copies go at any length.
+ALL_LINES = LineParams(least_equal=1)
 
 
 def _segment_keys(line: Column, length: Column, p: LineParams) -> Column:
@@ -124,8 +132,8 @@ def _bag_distance(a: Column, b: Column) -> Column:
     return out
 
 
-def _lines(documents: DataFrame, p: LineParams) -> DataFrame:
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("chars", F.char_length("line")).where(F.col("chars") >= p.least_chars)
+def _lines(documents: DataFrame, wanted: Column) -> DataFrame:
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("chars", F.char_length("line")).where(wanted)
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
 
 
@@ -133,7 +141,9 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     """(doc_id, drops): numbers, from 0, of the lines of each document that are copies of a line that stays."""
     p = params or LineParams()
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(documents, p)
+    long = F.col("chars") >= p.least_chars
+    short = ~long & (F.col("chars") >= p.least_equal) & F.col("line").rlike(NOT_BLANK)
+    lines = _lines(documents, long)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
     coded = lines.select("h1", "h2", first.alias("at"), "chars", _segment_keys(F.col("line"), F.col("chars"), p).alias("own"), _probe_keys(F.col("line"), F.col("chars"), p).alias("probes"))
     distinct = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("first"), F.count("*").alias("copies"))
@@ -165,6 +175,10 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     keeps = near.groupBy("component").agg(F.min("at").alias("keep"))
     near = near.join(keeps, "component").select("h1", "h2", "keep")
     equal = distinct.where("copies > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("at").alias("keep"))
+    if p.least_equal < p.least_chars:
+        counted = _lines(documents, short).groupBy("h1", "h2").agg(F.min(first).alias("keep"), F.count("*").alias("copies"))
+        equal = equal.unionByName(counted.where("copies > 1").drop("copies"))
+        lines = _lines(documents, long | short)
     decided = materialize(near.unionByName(equal), "lines-decided")
     everywhere = lines.select("h1", "h2", first.alias("at")).join(decided, ["h1", "h2"]).where("at <> keep")
     return everywhere.groupBy("at.doc_id").agg(F.collect_set("at.line_no").alias("drops"))
@@ -189,4 +203,4 @@ def dedup_lines(documents: DataFrame, params: LineParams | None = None) -> DataF
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return dedup_lines(rows).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup_lines(rows, ALL_LINES).select("doc_id", "text", "n_lines", "n_dropped")

@@ -131,3 +131,11 @@ def test_lines_edge_cases(spark):
     rows = [(1, line, "k"), (1, line, "k"), (2, line + "\n" + line, "k"), (None, line, None)]
     got = sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, DOC + ", key string")).collect()), key=str)
     assert got == sorted([(1, line), (1, line), (2, ""), (None, "")], key=str)
+
+
+def test_short_lines_go_as_exact_copies(spark, tmp_path):
+    long = "a line of more than twenty-five characters"
+    rows = [(1, "Les.\n\nx\n" + long), (2, "Les.\n\nLet.\nx"), (3, "own\n \nLes.\n" + long[:-1]), (4, " \nLes."), (5, None)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.op6_linededup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("\nLet.", 4, 2), 3: ("own\n ", 4, 2), 4: (" ", 2, 1), 5: (None, 0, 0)}
