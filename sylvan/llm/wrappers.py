@@ -6,8 +6,9 @@ other: text that differs becomes a slot, a part that one side lacks becomes
 optional, a part that follows itself becomes repeated; alternatives (unions) never
 arise, for a list of children that grows too long becomes a repeated group of
 optionals. Wrappers align with wrappers the same way, so they are built per task
-and then put together. A wrapper says where the content is: the article or main
-element, or else the element that holds most of the slots' text; and, outside an
+and then put together. A wrapper says where the content is: all article or main
+elements of a page (teasers of other pages aside), or else the elements at the path that
+holds most of the slots' text, joined in page order; and, outside an
 article, which texts are the same on all pages. Elements that are by their role
 no content (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 never are.
@@ -44,6 +45,8 @@ NO_CONTENT = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "butto
 NO_CONTENT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "reply", "replies", "share", "sharing", "sidebar", "social", "sponsored", "subscribe", "widget"}
 #: Words by which a class speaks of a part that is elsewhere.
 LAYOUT_WORDS = {"container", "has", "layout", "no", "page", "with", "without", "wrapper"}
+#: Words by which an article speaks of another page; it is left out where the page has an article without them.
+TEASER_WORDS = {"promo", "related", "sponsored", "teaser", "teasers"}
 #: Elements nested deeper are read as part of the one around them.
 DEEPEST = 200
 #: Start tags that end an open element of the same group.
@@ -60,10 +63,10 @@ class WrapperParams:
 
 
 class Element:
-    __slots__ = ("boiler", "children", "links", "sig", "tag")
+    __slots__ = ("boiler", "children", "links", "sig", "tag", "teaser")
 
-    def __init__(self, tag: str, sig: str, boiler: bool):
-        self.tag, self.sig, self.boiler = tag, sig, boiler
+    def __init__(self, tag: str, sig: str, boiler: bool, teaser: bool = False):
+        self.tag, self.sig, self.boiler, self.teaser = tag, sig, boiler, teaser
         self.children: list[Element | str] = []
         self.links = 0
 
@@ -128,7 +131,7 @@ def parse(page: str) -> Element:
         inside = any(e.tag in ("article", "main") for e in stack)
         boiler = name in NO_CONTENT or (name == "header" and not inside) or bool(marks & NO_CONTENT_WORDS and not marks & LAYOUT_WORDS and name not in ("article", "body", "html", "main")) or named.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search") or (name == "article" and bool(marks & {"comment", "comments", "reply"}))
         sig = name + "".join("." + w for w in sorted(marks)[:4])
-        made = Element(name, sig, boiler)
+        made = Element(name, sig, boiler, stack[-1].teaser or bool(marks & TEASER_WORDS and not marks & LAYOUT_WORDS))
         stack[-1].children.append(made)
         stack.append(made)
     flush()
@@ -280,8 +283,10 @@ def main_text(page: str, rule: dict) -> str:
                 texts(c, out)
         return out
 
-    nodes = at(rule["path"]) or every(root, "article") or every(root, "main") or [root]
-    return max((" ".join(texts(n, [])) for n in nodes), key=len)
+    tag = rule["path"][-1].split(".")[0] if rule["path"] else ""
+    nodes = (every(root, tag) if tag in ("article", "main") else at(rule["path"])) or every(root, "article") or every(root, "main") or [root]
+    nodes = [n for n in nodes if not n.teaser] or nodes
+    return " ".join(t for n in nodes for t in texts(n, []))
 
 
 def host_of(url: Column) -> Column:

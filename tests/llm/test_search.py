@@ -148,3 +148,20 @@ def test_wrappers(spark):
     joined = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), wrappers.WrapperParams(broadcast_hosts=0))
     assert {r.page_id: r.text for r in joined.collect()} == got
     assert wrappers.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _texts(pages, p=wrappers.WrapperParams()):
+    """The texts of a host's pages, in plain Python."""
+    held = None
+    for page in pages:
+        held = wrappers.align(held, wrappers.wrapper_of(wrappers.parse(page), p), p)
+    rule = wrappers.content_rule(held)
+    return [wrappers.main_text(x, rule) for x in pages]
+
+
+def test_all_articles_of_a_page_are_joined():
+    page = '<body><article class="lead"><p>One {0}</p></article><article><p>two and more {0}</p></article><article class="teaser"><p>Read this other story, longer than all</p></article><article class="comment"><p>nice</p></article></body>'
+    assert _texts([page.format(i) for i in range(4)])[2] == "One 2 two and more 2"
+    assert _texts(['<article class="teaser"><p>alone</p></article>']) == ["alone"]
+    blocks = '<body><div class="text"><p>Part one of {0}, long enough.</p></div><hr><div class="advert">x</div><div class="text"><p>And part two of {0}.</p></div></body>'
+    assert _texts([blocks.format(i) for i in range(4)])[1] == "Part one of 1, long enough. And part two of 1."
