@@ -4,8 +4,9 @@ A page is a tree of block elements; adjacent siblings of one shape are a repeate
 group from the start. The wrapper of a host grows by aligning one page after the
 other: text that differs becomes a slot, a part that one side lacks becomes
 optional, a part that follows itself becomes repeated; alternatives (unions) never
-arise, for a list of children that grows too long becomes a repeated group of
-optionals. Wrappers align with wrappers the same way, so they are built per task
+arise, for a list of children that grows too long becomes a group with a node for
+each signature, and the signatures that some page lacks one for each tag once they
+are more than 4 * ``longest_list``. Wrappers align with wrappers the same way, so they are built per task
 and then put together. A wrapper says where the content is: all article or main
 elements of a page (teasers of other pages aside), or else the elements at the path that
 holds most of the slots' text, joined in page order; and, outside an
@@ -16,7 +17,7 @@ never are.
 Cases: null or empty html gives an empty text; a page without url, or of a host of
 its own, is wrapped alone; truncated markup and unclosed elements end with the
 page; repeated rows each get their row; other columns are not read. Whole pages
-are read; nothing is capped. Wrappers have a bounded size, and are broadcast only
+are read; nothing is capped. Wrappers are bounded by the size of a page, and are broadcast only
 while they are at most ``broadcast_hosts``; beyond that they are joined by host.
 """
 
@@ -139,7 +140,7 @@ def parse(page: str) -> Element:
 
 
 # A wrapper node: [sig, flags, pages, text, chars, children]; text is None (none), a checksum (the same everywhere) or 1 (a slot).
-OPTIONAL, REPEATED, BOILER = 1, 2, 4
+OPTIONAL, REPEATED, BOILER, FOLDED = 1, 2, 4, 8
 SLOT = 1
 
 
@@ -151,7 +152,12 @@ def wrapper_of(e: Element, p: WrapperParams) -> list:
 
 
 def _collapsed(nodes: list[list], p: WrapperParams) -> list[list]:
-    """Adjacent repeats of one, two or three nodes become repeated groups; a list still too long a repeated group of optionals."""
+    """Adjacent repeats of one, two or three nodes become repeated groups; a list still too long has a node for each signature."""
+    nodes = _adjacent(nodes, p)
+    return _folded(nodes, p) if len(nodes) > p.longest_list else nodes
+
+
+def _adjacent(nodes: list[list], p: WrapperParams) -> list[list]:
     for width in (1, 2, 3):
         out: list[list] = []
         k = 0
@@ -165,25 +171,57 @@ def _collapsed(nodes: list[list], p: WrapperParams) -> list[list]:
                 out.append(nodes[k])
                 k += 1
         nodes = out
-    if len(nodes) > p.longest_list:
-        by_sig: dict[str, list] = {}
-        for n in nodes:
-            by_sig[n[0]] = _aligned(by_sig[n[0]], n, p, within=True) if n[0] in by_sig else n
-            by_sig[n[0]][1] |= REPEATED | OPTIONAL
-        nodes = list(by_sig.values())[: 4 * p.longest_list]
     return nodes
 
 
+def _folded(nodes: list[list], p: WrapperParams) -> list[list]:
+    """One node for each signature, in no order."""
+    by_sig: dict[str, list] = {}
+    for n in nodes:
+        if n[0] in by_sig:
+            by_sig[n[0]] = _aligned(by_sig[n[0]], n, p, within=True)
+            by_sig[n[0]][1] |= REPEATED
+        else:
+            by_sig[n[0]] = n
+    return [[n[0], n[1] | FOLDED, *n[2:]] for n in by_sig.values()]
+
+
+def _united(a: list[list], b: list[list], p: WrapperParams) -> list[list]:
+    """Folded lists aligned by signature. Those that not all pages have become one for each tag once they are too many:
+    that depends on the pages, not on their order. The others are at most as many as on any page."""
+    left, right = ({n[0]: n for n in x} for x in (a, b))
+    both = [_aligned(n, right[s], p) for s, n in left.items() if s in right]
+    some = [_optional(n) for x, y in ((left, right), (right, left)) for s, n in x.items() if s not in y]
+    coarse = [n for n in (*both, *some) if n[0][-2:] in (".*", ".!")]
+    optional = [n for n in (*both, *some) if n[1] & OPTIONAL]
+    if not coarse and len(optional) <= 4 * p.longest_list:
+        return both + some
+    tags = [[_coarser(n), n[1], n[2], None if n[3] is None else SLOT, n[4], n[5]] for n in optional]
+    if len({n[0] for n in tags}) > 4 * p.longest_list or any(n[0].startswith("*") for n in tags):
+        tags = [n if n[0] in ("article.*", "main.*") else ["*" + n[0][-2:], *n[1:]] for n in tags]
+    return [n for n in both if not n[1] & OPTIONAL] + [[n[0], n[1] | REPEATED | OPTIONAL, *n[2:]] for n in _folded(tags, p)]
+
+
+def _coarser(node: list) -> str:
+    """The signature of all nodes of a tag that are, or are not, content."""
+    return node[0] if node[0][-2:] in (".*", ".!") else node[0].split(".")[0] + (".!" if node[1] & BOILER else ".*")
+
+
 def _aligned(a: list, b: list, p: WrapperParams, within: bool = False) -> list:
-    """One node for two of the same signature."""
+    """One node for two of the same signature, of two pages or, within, of one."""
     text = a[3] if a[3] == b[3] else SLOT
-    if within and a[3] is not None:
-        text = SLOT
-    return [a[0], a[1] | b[1], max(a[2], b[2]) if within else a[2] + b[2], text, a[4] + b[4], _merged(a[5], b[5], p)]
+    flags = a[1] | b[1]
+    if within:
+        text = text if a[3] is None else SLOT
+        # a page that has either has the group
+        flags &= ~OPTIONAL | (a[1] & b[1])
+    return [a[0], flags, max(a[2], b[2]) if within else a[2] + b[2], text, a[4] + b[4], _merged(a[5], b[5], p)]
 
 
 def _merged(a: list[list], b: list[list], p: WrapperParams) -> list[list]:
-    """Children aligned by a longest common subsequence of signatures; what one side lacks is optional."""
+    """Children aligned by a longest common subsequence of signatures, or by signature where a list is too long; what one side lacks is optional."""
+    if any(n[1] & FOLDED for n in (*a, *b)):
+        return _united(_folded(a, p), _folded(b, p), p)
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -200,8 +238,8 @@ def _merged(a: list[list], b: list[list], p: WrapperParams) -> list[list]:
         else:
             out.append(_optional(b[j]))
             j += 1
-    out += [_optional(x) for x in (*a[i:], *b[j:])]
-    return _collapsed(out, p)
+    out = _adjacent([*out, *map(_optional, (*a[i:], *b[j:]))], p)
+    return out if len(out) <= p.longest_list else _united(_folded(a, p), _folded(b, p), p)
 
 
 def _optional(node: list) -> list:
@@ -245,12 +283,15 @@ def content_rule(wrapper: list) -> dict:
         if wrapper[2] >= 3:
 
             def gather(n: list) -> None:
-                if n[3] not in (None, SLOT) and not n[1] & OPTIONAL:
+                if n[1] & OPTIONAL:
+                    return
+                if n[3] not in (None, SLOT):
                     fixed.append(n[3])
                 for c in n[5]:
                     gather(c)
 
-            gather(node)
+            # the content itself may be missing on some page
+            gather([node[0], node[1] & ~OPTIONAL, 0, None if node[1] & OPTIONAL else node[3], *node[4:]])
     return {"path": path, "fixed": fixed}
 
 

@@ -165,3 +165,15 @@ def test_all_articles_of_a_page_are_joined():
     assert _texts(['<article class="teaser"><p>alone</p></article>']) == ["alone"]
     blocks = '<body><div class="text"><p>Part one of {0}, long enough.</p></div><hr><div class="advert">x</div><div class="text"><p>And part two of {0}.</p></div></body>'
     assert _texts([blocks.format(i) for i in range(4)])[1] == "Part one of 1, long enough. And part two of 1."
+
+
+def test_long_lists_keep_all_children():
+    name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:03}")
+    block = lambda k, text: f'<div id="{name(k)}"><p>{text}</p></div>'
+    # more signatures than a list holds, all different on every page, before the text and a notice that all pages have
+    page = lambda i: "<body>" + "".join(block(100 * i + k, f"a{i}") for k in range(100)) + f'<section><p>Text of {i}.</p></section><div id="zzz">Same</div></body>'
+    got = _texts([page(i) for i in range(5)])
+    assert got == _texts([page(i) for i in (3, 4, 0, 2, 1)])[2:3] + got[1:] and all(x == "a%d " % i * 100 + f"Text of {i}." for i, x in enumerate(got))
+    # the same signatures on all pages, more than a list holds: the last has the text
+    long = lambda i: "<body>" + "".join(block(k, "Same") for k in range(200)) + f"<section><p>Text of {i}, which is all.</p></section></body>"
+    assert _texts([long(i) for i in range(4)])[3] == "Text of 3, which is all."
