@@ -10,7 +10,8 @@ are more than 4 * ``longest_list``. Wrappers align with wrappers the same way, s
 and then put together. A wrapper says where the content is: all article or main
 elements of a page (teasers of other pages aside), or else the elements at the path that
 holds most of the slots' text, joined in page order; and, outside an
-article, which texts are the same on all pages. Elements that are by their role
+article, which texts are the same on all pages, if there are three that differ: pages
+of equal content are copies, and count once. Elements that are by their role
 no content (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 never are.
 
@@ -23,6 +24,7 @@ while they are at most ``broadcast_hosts``; beyond that they are joined by host.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import json
 import re
@@ -151,6 +153,23 @@ def wrapper_of(e: Element, p: WrapperParams) -> list:
     return node
 
 
+def content_mark(root: Element) -> bytes:
+    """Equal for pages with equal elements and texts, those aside that are no content."""
+    parts: list[str] = []
+
+    def walk(e: Element) -> None:
+        parts.append("<" + e.sig)
+        for c in e.children:
+            if isinstance(c, str):
+                parts.append(c)
+            elif not c.boiler:
+                walk(c)
+        parts.append(">")
+
+    walk(root)
+    return hashlib.md5("\n".join(parts).encode("utf-8", "replace"), usedforsecurity=False).digest()
+
+
 def _collapsed(nodes: list[list], p: WrapperParams) -> list[list]:
     """Adjacent repeats of one, two or three nodes become repeated groups; a list still too long has a node for each signature."""
     nodes = _adjacent(nodes, p)
@@ -280,7 +299,7 @@ def content_rule(wrapper: list) -> dict:
                 break
             path.append(best[0])
             node = best
-        if wrapper[2] >= 3:
+        if whole and wrapper[2] >= 3:
 
             def gather(n: list) -> None:
                 if n[1] & OPTIONAL:
@@ -339,25 +358,37 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams | None = None) -> Dat
     p = params or WrapperParams()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple[str, bytes], bytes] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    held[host] = align(held.get(host), wrapper_of(parse(page), p), p)
+                    root = parse(page)
+                    key = host, content_mark(root)
+                    if key not in held:
+                        held[key] = json.dumps(wrapper_of(root, p)).encode()
                     if len(held) > p.hosts_per_flush:
-                        yield _packed(held)
+                        yield pages_packed(held)
                         held = {}
         if held:
-            yield _packed(held)
+            yield pages_packed(held)
+
+    def pages_packed(held: dict[tuple[str, bytes], bytes]) -> pa.RecordBatch:
+        hosts, marks = zip(*held, strict=True)
+        columns = [pa.array(hosts, pa.string()), pa.array([zlib.compress(w, 1) for w in held.values()], pa.binary()), pa.array(marks, pa.binary()), pa.array([m[0] % p.merge_salts for m in marks], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "wrapper", "mark", "salt"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, held = None, None
+        """Wrappers of a host, one after the other; of those with one mark, which are copies, the first."""
+        host, held, last = None, None, None
         for batch in batches:
-            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            marks = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for name, packed, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), marks, strict=True):
                 if name != host and host is not None:
                     yield _packed({host: held})
                     held = None
-                host, held = name, align(held, json.loads(zlib.decompress(packed)), p)
+                if held is None or mark is None or mark != last:
+                    held = align(held, json.loads(zlib.decompress(packed)), p)
+                host, last = name, mark
         if host is not None:
             yield _packed({host: held})
 
@@ -366,8 +397,9 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams | None = None) -> Dat
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "rule"])
 
     schema = "host string, wrapper binary"
-    parts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(build, schema)
-    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(p.merge_salts))).repartition("host", "salt").sortWithinPartitions("host").select("host", "wrapper").mapInArrow(merge, schema)
+    parts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(build, f"{schema}, mark binary, salt int")
+    # copies of a page have one mark, so one salt
+    parts = parts.repartition("host", "salt").sortWithinPartitions("host", "mark").select("host", "wrapper", "mark").mapInArrow(merge, schema)
     whole = parts.repartition("host").sortWithinPartitions("host").mapInArrow(merge, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

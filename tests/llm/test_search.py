@@ -177,3 +177,11 @@ def test_long_lists_keep_all_children():
     # the same signatures on all pages, more than a list holds: the last has the text
     long = lambda i: "<body>" + "".join(block(k, "Same") for k in range(200)) + f"<section><p>Text of {i}, which is all.</p></section></body>"
     assert _texts([long(i) for i in range(4)])[3] == "Text of 3, which is all."
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = '<body><div id="menu">Home</div><h1>Head</h1><div class="text"><p>{}</p></div><div>Notice</div></body>'
+    for texts, want in ((["Copy."] * 6, "Head Copy. Notice"), (["Copy."] * 6 + ["Other."], "Head Copy. Notice"), (["Copy."] * 6 + ["Other.", "Third."], "Copy.")):
+        rows = [(i, "http://c.example/", page.format(t)) for i, t in enumerate(texts)]
+        got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+        assert len(got) == len(rows) and {r.text for r in got if r.page_id < 6} == {want}
