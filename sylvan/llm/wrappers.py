@@ -17,7 +17,7 @@ never are.
 
 Cases: null or empty html gives an empty text; a page without url, or of a host of
 its own, is wrapped alone; truncated markup and unclosed elements end with the
-page; repeated rows each get their row; other columns are not read. Whole pages
+page (unclosed frames, drawings and the like are passed over by their start tag alone); repeated rows each get their row; other columns are not read. Whole pages
 are read; nothing is capped. Wrappers are bounded by the size of a page, and are broadcast only
 while they are at most ``broadcast_hosts``; beyond that they are joined by host.
 """
@@ -41,7 +41,11 @@ from sylvan.llm.common import materialize, table
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
+#: Of these, the ones that without an end tag last until the page ends; the others' contents are then read.
+RAW_TO_END = {"script", "style", "textarea", "title"}
+#: Elements that a slash in the start tag ends.
+SELF_CLOSING = {"svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 NO_CONTENT = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select"}
@@ -106,10 +110,14 @@ def parse(page: str) -> Element:
         if name == "br":
             text.append(" ")
             continue
+        if not slash and name in SELF_CLOSING and rest.endswith("/"):
+            flush()
+            continue
         if not slash and name in RAW:
             close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            after = page.find(">", close.start()) if close else -1
-            at = after + 1 if after >= 0 else end
+            if close or name in RAW_TO_END:
+                after = page.find(">", close.start()) if close else -1
+                at = after + 1 if after >= 0 else end
             if name in ("script", "style", "noscript", "template"):
                 continue
             flush()

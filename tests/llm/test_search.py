@@ -185,3 +185,22 @@ def test_copies_of_a_page_keep_their_text(spark):
         rows = [(i, "http://c.example/", page.format(t)) for i, t in enumerate(texts)]
         got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
         assert len(got) == len(rows) and {r.text for r in got if r.page_id < 6} == {want}
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<svg class="i"/>', "a b c"),
+        ("<math/>", "a b c"),
+        ('<svg/><p>x</p><svg><title>T</title><path d="m"/></svg>', "a x b c"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "a x = 1 b c"),
+        ('<object data="f"><p>instead</p></object>', "a instead b c"),
+        ("<iframe src='f'>", "a b c"),
+        ("<svg>", "a b c"),
+        ("<textarea>in</textarea>", "a b c"),
+        ("<script>s", "a"),
+    ],
+)
+def test_raw_elements_end_where_they_should(inside, want):
+    page = f"<article><p>a</p>{inside}<p>b</p></article><article><p>c</p></article>"
+    assert wrappers.main_text(page, wrappers.NO_RULE | {"path": ["article"]}) == want
