@@ -316,7 +316,7 @@ def number_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- expressions
 
 row("strings", "customer", {"c_custkey": ("c_custkey", None), "a": ("upper-case(substring(c_name, 1, 8))", None), "b": ("substring-after(c_name, '#')", None), "c": ("concat(c_mktsegment, '-', c_nationkey)", None), "d": ("string-length(c_name)", "long"), "e": ("translate(c_name, 'Cust', 'cUS')", None), "f": ("contains(c_mktsegment, 'BUILD')", None), "g": ("lower-case(c_mktsegment) || '!'", None), "h": ("normalize-space(concat('  ', c_mktsegment, '   x '))", None)}, "SELECT c_custkey, upper(substring(c_name, 1, 8)) AS a, CASE WHEN instr(c_name, '#') > 0 THEN substring(c_name, instr(c_name, '#') + 1) ELSE '' END AS b, c_mktsegment || '-' || c_nationkey AS c, length(c_name) AS d, replace(translate(c_name, 'Cus', 'cUS'), 't', '') AS e, contains(c_mktsegment, 'BUILD') AS f, lower(c_mktsegment) || '!' AS g, c_mktsegment || ' x' AS h FROM customer")
-row("regex", "documents", {"doc_id": ("doc_id", None), "a": ("matches(text, '^[A-Z][a-z]+')", None), "b": ("replace(substring(text, 1, 60), '[aeiou]+', '_')", None), "c": ("count(tokenize(text, '\\s+'))", "long"), "d": ("count(tokenize(text))", "long")}, r"SELECT doc_id, regexp_matches(text, '^[A-Z][a-z]+') AS a, regexp_replace(substring(text, 1, 60), '[aeiou]+', '_', 'g') AS b, CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '[ \t\r\n]+')) END AS c, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS d FROM documents")
+row("regex", "documents", {"doc_id": ("doc_id", None), "a": ("matches(text, '^[A-Z][a-z]+')", None), "b": ("replace(text, '[aeiou]+', '_')", None), "c": ("count(tokenize(text, '\\s+'))", "long"), "d": ("count(tokenize(text))", "long")}, r"SELECT doc_id, regexp_matches(text, '^[A-Z][a-z]+') AS a, regexp_replace(text, '[aeiou]+', '_', 'g') AS b, CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '[ \t\r\n]+')) END AS c, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS d FROM documents")
 row("arithmetic", "part", {"p_partkey": ("p_partkey", None), "a": ("p_size idiv 7", "long"), "b": ("p_size mod 7", "long"), "c": ("p_size div 4", "double"), "d": ("-p_size + 3", "long"), "e": ("floor(p_retailprice)", "double"), "f": ("ceiling(p_retailprice)", "double"), "g": ("round(p_retailprice div 10e0)", "double"), "h": ("abs(p_size - 25)", "long"), "i": ("if (p_size > 25) then 'big' else 'small'", None)}, "SELECT p_partkey, p_size // 7 AS a, p_size % 7 AS b, p_size / 4.0::DOUBLE AS c, 3 - p_size AS d, floor(p_retailprice) AS e, ceil(p_retailprice) AS f, floor(p_retailprice / 10 + 0.5) AS g, abs(p_size - 25) AS h, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS i FROM (SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part)")
 row("math", "part", {"p_partkey": ("p_partkey", None), "a": ("round(math:sqrt(p_retailprice), 6)", None), "b": ("round(math:log(p_retailprice), 6)", None), "c": ("round(math:sin(xs:double(p_size)), 6)", None), "d": ("round(math:pow(xs:double(p_size), 2), 2)", None), "e": ("round(math:atan2(xs:double(p_size), 3e0), 6)", None)}, "SELECT p_partkey, floor(sqrt(p_retailprice) * 1e6 + 0.5) / 1e6 AS a, floor(ln(p_retailprice) * 1e6 + 0.5) / 1e6 AS b, floor(sin(p_size) * 1e6 + 0.5) / 1e6 AS c, floor(pow(p_size, 2) * 100 + 0.5) / 100 AS d, floor(atan2(p_size, 3) * 1e6 + 0.5) / 1e6 AS e FROM part")
 row("dates", "orders", {"o_orderkey": ("o_orderkey", None), "a": ("year-from-dateTime(o_orderdate)", "long"), "b": ("month-from-dateTime(o_orderdate)", "long"), "c": ("day-from-dateTime(o_orderdate)", "long"), "d": ("hours-from-dateTime(o_orderdate)", "long"), "e": ("format-dateTime(o_orderdate, '[Y0001]/[M01]/[D01]')", None), "f": ("o_orderdate < xs:dateTime('1996-01-01T00:00:00')", None)}, "SELECT o_orderkey, year(o_orderdate) AS a, month(o_orderdate) AS b, day(o_orderdate) AS c, hour(o_orderdate) AS d, strftime(o_orderdate, '%Y/%m/%d') AS e, o_orderdate < TIMESTAMP '1996-01-01' AS f FROM orders")
@@ -487,10 +487,10 @@ def tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("ancestors")[0]["local"]).alias("top"))
 
 
-@query("tree_ids", "SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 100 = 0")
+@query("tree_ids", "SELECT DISTINCT l_orderkey::VARCHAR AS id FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey")
 def tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id(): the orders with the ids wanted."""
-    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("value"))
+    """id(): the orders with the ids that line items name."""
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("value"))
     return axes.by_id(wanted, _order_trees(spark, sf_dir)).select(F.element_at("attrs", "id").alias("id"))
 
 
