@@ -22,11 +22,15 @@ ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; from now on the session sends Python at most ROWS rows at once, as texts can be long."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For the owner of a session (the registered queries and the pipeline; the operators leave settings alone): Python
+    gets at most ROWS rows at once, as texts can be long. The plans that a query returns run later, so it stays set."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS:
         spark.conf.set(key, ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold_of(key: Column, folds: int) -> Column:
@@ -35,9 +39,12 @@ def fold_of(key: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (a single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found

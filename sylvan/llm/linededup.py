@@ -3,7 +3,7 @@
 Lines of at least ``least_chars`` characters that are equal, or within ``errors``
 edits, are copies; shorter ones, from ``least_equal`` characters on and not blank, are
 copies if they are equal. Of each connected group the first line in order of (doc_id,
-line number) stays. op6_linededup and the pipeline set ``least_equal`` to 1 (ALL_LINES): in
+hash of the text, line number) stays. op6_linededup and the pipeline set ``least_equal`` to 1 (ALL_LINES): in
 a few characters, two edits make another line, so these need equality. A line is cut into errors + 1 segments: a line within the
 distance holds one of them unchanged, at a place that its length bounds. So each
 distinct line is indexed under its segments and probes, for every length it may
@@ -14,9 +14,11 @@ number of errors, advanced by bit operations over the line's characters.
 
 Cases: null text stays null, without lines; blank lines and lines shorter than both bounds
 stay where they are; a document all of whose lines go stays with an empty text here (the
-pipeline leaves out documents that keep no line but blank ones); a null doc_id is last in order; rows that repeat a doc_id are
-one document, cleaned alike; other columns are not read. Lines are told apart by 128
-bits of hash, near lines by 64.
+pipeline leaves out documents that keep no line but blank ones); a null doc_id is last in order. A document
+is a doc_id, null too, with a text: rows that repeat a doc_id with other texts are documents each and lose
+their own copies only; rows that repeat both are one document, cleaned alike. Other columns are not read, and of the caller's
+columns only text changes (and those named like a column added here are replaced). Lines and texts are told
+apart by 128 bits of hash; only the search for near lines goes by 64, and its pairs are verified.
 
 Texts are shuffled once, at the end. Of the lines, only hashes move; a verified
 line's text is found again through a bitmap of fixed size of the lines wanted.
@@ -132,20 +134,31 @@ def _bag_distance(a: Column, b: Column) -> Column:
     return out
 
 
-def _lines(documents: DataFrame, wanted: Column) -> DataFrame:
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("chars", F.char_length("line")).where(wanted)
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
+def _hashes(value: str) -> list[Column]:
+    """128 bits of a string column."""
+    return [F.xxhash64(value), F.xxhash64(value, F.lit(7))]
+
+
+def _lines(documents: DataFrame, p: LineParams) -> DataFrame:
+    """The lines that may go: (t1, t2) is the text they are of, (h1, h2) the line itself."""
+    rows = documents.select("doc_id", *(h.alias(f"t{k + 1}") for k, h in enumerate(_hashes("text"))), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    chars = F.col("chars")
+    wanted = chars >= p.least_chars
+    if p.least_equal < p.least_chars:
+        wanted = wanted | ((chars >= p.least_equal) & F.col("line").rlike(NOT_BLANK))
+    rows = rows.withColumn("chars", F.char_length("line")).where(wanted)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2", "line_no")
+    return rows.select(*(h.alias(f"h{k + 1}") for k, h in enumerate(_hashes("line"))), place.alias("at"), "chars", "line")
 
 
 def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> DataFrame:
-    """(doc_id, drops): numbers, from 0, of the lines of each document that are copies of a line that stays."""
+    """(doc_id, t1, t2, drops): numbers, from 0, of the lines of each document that are copies of a line that stays."""
     p = params or LineParams()
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = _lines(documents, p)
     long = F.col("chars") >= p.least_chars
-    short = ~long & (F.col("chars") >= p.least_equal) & F.col("line").rlike(NOT_BLANK)
-    lines = _lines(documents, long)
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    coded = lines.select("h1", "h2", first.alias("at"), "chars", _segment_keys(F.col("line"), F.col("chars"), p).alias("own"), _probe_keys(F.col("line"), F.col("chars"), p).alias("probes"))
+    keys = [F.when(long, k(F.col("line"), F.col("chars"), p)).alias(name) for name, k in (("own", _segment_keys), ("probes", _probe_keys))]
+    coded = lines.select("h1", "h2", "at", *keys)
     distinct = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("first"), F.count("*").alias("copies"))
     distinct = materialize(distinct.select("h1", "h2", "copies", "first.*"), "lines-distinct")
     index = distinct.select("h1", F.lit(True).alias("own"), F.explode("own").alias("key"))
@@ -156,7 +169,7 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     cells = materialize(cells, "lines-cells")
     free_shuffles(documents.sparkSession)
     wanted = cells.select("h1").distinct()
-    texts = wanted_rows(lines.select("h1", "line"), wanted, "h1").dropDuplicates(["h1"])
+    texts = wanted_rows(lines.where(long).select("h1", "h2", "line"), wanted, "h1").dropDuplicates(["h1", "h2"])
     texts = materialize(texts.withColumn("bag", _bag(F.col("line"))), "lines-texts")
     free_shuffles(documents.sparkSession)
     bags = cells.join(texts.select("h1", "bag"), "h1")
@@ -165,40 +178,52 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     met = bags.where("own").alias("i").join(bags.where("not own").alias("p"), (F.col("i.key") == F.col("p.key")) & close)
     met = materialize(met.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "lines-met")
     discard(cells)
-    pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    links = materialize(pairs.where(within_edits(F.col("la"), F.col("lb"), p.errors)).select("a", "b"), "lines-links")
+    sides = [texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"n{x}"), F.col("line").alias(f"l{x}")) for x in "ab"]
+    pairs = met.join(sides[0], "a").join(sides[1], "b")
+    links = materialize(pairs.where(within_edits(F.col("la"), F.col("lb"), p.errors)).select(F.col("na").alias("a"), F.col("nb").alias("b")), "lines-links")
     discard(met)
     discard(texts)
     free_shuffles(documents.sparkSession)
-    groups = components(links)
-    near = distinct.join(groups, distinct["h1"] == groups["node"]).select("h1", "h2", "at", "component")
+    groups = components(links).select("node.*", "component")
+    near = distinct.select("h1", "h2", "at").join(groups, ["h1", "h2"])
     keeps = near.groupBy("component").agg(F.min("at").alias("keep"))
     near = near.join(keeps, "component").select("h1", "h2", "keep")
-    equal = distinct.where("copies > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("at").alias("keep"))
-    if p.least_equal < p.least_chars:
-        counted = _lines(documents, short).groupBy("h1", "h2").agg(F.min(first).alias("keep"), F.count("*").alias("copies"))
-        equal = equal.unionByName(counted.where("copies > 1").drop("copies"))
-        lines = _lines(documents, long | short)
+    equal = distinct.where("copies > 1").select("h1", "h2", F.col("at").alias("keep")).join(near, ["h1", "h2"], "left_anti")
     decided = materialize(near.unionByName(equal), "lines-decided")
-    everywhere = lines.select("h1", "h2", first.alias("at")).join(decided, ["h1", "h2"]).where("at <> keep")
-    return everywhere.groupBy("at.doc_id").agg(F.collect_set("at.line_no").alias("drops"))
+    discard(distinct)
+    discard(links)
+    free_shuffles(documents.sparkSession)
+    everywhere = lines.select("h1", "h2", "at").join(decided, ["h1", "h2"]).where("at <> keep").select("at.*")
+    return everywhere.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("drops"))
 
 
 def dedup_lines(documents: DataFrame, params: LineParams | None = None) -> DataFrame:
     """The documents with the copies taken out of text, and n_lines, n_dropped and n_left: the number of lines that are
     not blank, of any length, that stayed in a document that lost some."""
     p = params or LineParams()
-    drops = duplicate_lines(documents, p).select(F.col("doc_id").alias("dropped_of"), "drops")
-    both = documents.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_of")), "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("drops", i))
-    names = [F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in documents.columns]
-    return both.select(
-        *names,
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNotNull(), F.size(F.filter(kept, lambda x: x.rlike(NOT_BLANK)))).cast("long").alias("n_left"),
-    )
+    drops = duplicate_lines(documents, p)
+    key = F.col("doc_id").cast("long")
+    text = F.col("text").cast("string")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), key.isNull().alias("unnamed"), F.coalesce(key, F.lit(0)).alias("doc_id"), text.alias("text"))
+    rows = rows.select("row", "unnamed", "doc_id", *(h.alias(f"t{k + 1}") for k, h in enumerate(_hashes("text"))))
+    drops = drops.select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "t1", "t2", F.array_sort("drops").alias("drops"))
+    both = rows.join(drops, ["unnamed", "doc_id", "t1", "t2"], "left")
+    text = F.col("row").getField("text").cast("string")
+    drops = F.col("drops")
+    # what stands between one line that goes and the next: each line is copied once, however many go; lists of one, so that the text is cut up once
+    since, until = F.concat(F.array(F.lit(-1)), drops), lambda lines: F.concat(drops, F.array(F.size(lines)))
+    runs = F.transform(F.array(F.split(text, "\n")), lambda lines: F.flatten(F.zip_with(since, until(lines), lambda a, b: F.slice(lines, a + 2, b - a - 1))))
+    kept = F.when(drops.isNotNull(), runs[0])
+    n_lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
+    both = both.select("row", "drops", kept.alias("kept"), F.when(text.isNull(), 0).otherwise(n_lines).alias("n_lines"))
+    added = {
+        "n_lines": F.col("n_lines").cast("long"),
+        "n_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long"),
+        "n_left": F.when(F.col("kept").isNotNull(), F.size(F.filter("kept", lambda x: x.rlike(NOT_BLANK)))).cast("long"),
+    }
+    named = {c: F.col("row").getField(c) for c in documents.columns if c not in added}
+    named["text"] = F.when(F.col("kept").isNull(), named["text"]).otherwise(F.array_join("kept", "\n"))
+    return both.select(*(v.alias(c) for c, v in named.items()), *(v.alias(c) for c, v in added.items()))
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

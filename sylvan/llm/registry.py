@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.llm import decontamination, jaccard, langid, lattice, linededup, mixing, quality, topk, toxicity, wrappers
+from sylvan.llm.common import small_batches
+
+
+def _query(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return operator(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_jaccard": jaccard.op1_jaccard,
         "op2_langid": langid.op2_langid,
         "op3_quality": quality.op3_quality,
@@ -22,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_wrappers": wrappers.op9_wrappers,
         "op10_decontamination": decontamination.op10_decontamination,
     }
+    return {name: _query(operator) for name, operator in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

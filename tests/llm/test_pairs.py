@@ -139,3 +139,29 @@ def test_short_lines_go_as_exact_copies(spark, tmp_path):
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.op6_linededup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 4, 0), 2: ("\nLet.", 4, 2), 3: ("own\n ", 4, 2), 4: (" ", 2, 1), 5: (None, 0, 0)}
+
+
+def test_lines_of_rows_without_an_id_or_with_the_same(spark):
+    """Each line stays or goes by its own text and document, all pairs compared; nothing unique is lost."""
+    rng = random.Random(5)
+    common = [f"{x * 8} is a line that many of the documents have" for x in "abcdef"]
+    docs = []
+    for i in range(60):
+        lines = [rng.choice(common) if rng.random() < 0.4 else f"line {i} {k} of its own: {rng.random()}" for k in range(rng.randint(1, 6))]
+        docs.append((rng.choice([None, 5, 5, i]), "\n".join(lines), "clash", i))
+    ordered = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+    df = spark.createDataFrame(docs, DOC + ", drops string, n_lines int").repartition(3)
+    got = {}
+    for r in linededup.dedup_lines(df).collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped, r.drops))
+    assert sum(map(len, got.values())) == len(docs)
+    left = [x for rows in got.values() for text, *_ in rows for x in text.split("\n")]
+    own = [x for _, t, *_ in docs for x in t.split("\n") if x not in common]
+    assert sorted(x for x in left if x and x not in common) == sorted(own)
+    used = {x for _, t, *_ in docs for x in t.split("\n") if x in common}
+    assert sorted(x for x in left if x in common) == sorted(used)
+    # a common line stays in a document of the smallest doc_id that has it
+    for x in used:
+        keeper = next(d[0] for d in ordered if x in d[1].split("\n"))
+        assert any(x in text.split("\n") for text, *_ in got[keeper])
+    assert all(d == "clash" and n == text.count("\n") + 1 + k or k for rows in got.values() for text, n, k, d in rows)

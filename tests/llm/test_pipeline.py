@@ -38,3 +38,12 @@ def test_short_lines_keep_their_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
     got = {r.doc_id: r.text for r in corpus_pipeline.remove_copied_lines(spark, docs, SF).collect()}
     assert got == {1: line, 2: "roses are red\nviolets are blue", 4: "一行诗"}
+
+
+def test_rows_with_the_same_or_no_id_are_told_apart(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " end"), (7, ""), (7, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.remove_near_copies(spark, docs.repartition(3), SF).collect()), key=str)
+    either = [sorted([(5, texts[0]), (5, texts[1]), (None, t), (7, ""), (None, ""), (None, None)], key=str) for t in (texts[2], texts[2] + " end")]
+    assert got in either
