@@ -6,15 +6,16 @@ again. STAGES lists them; run applies them to the table documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm import decontamination, jaccard, linededup, mixing, toxicity
-from sylvan.llm.common import fold_of, materialize, table
+from sylvan.llm.common import discard, fold_of, materialize, small_batches, table
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     """The columns of documents, in their types; others are left out."""
+    small_batches(docs.sparkSession)
     types = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
 
@@ -36,13 +37,18 @@ def remove_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles the one with the smallest doc_id stays; rows without a doc_id all do."""
+    """Of each group of documents linked by shingles one stays, the one with the smallest doc_id. Every row is a document, with
+    a number of its own while they are compared, so that rows without a doc_id or with the same one are told apart by their texts;
+    without shingles, only rows that are equal in doc_id and text are one."""
     docs = _documents(docs)
-    found = jaccard.jaccard_components(docs)
-    stays = found.where("component_id = doc_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    named = docs.join(stays, "doc_id", "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    return named.unionByName(docs.where("doc_id is null"))
+    numbered = materialize(docs.withColumn("row_no", F.monotonically_increasing_id()), "near-copies")
+    found = materialize(jaccard.jaccard_components(numbered.select(F.col("row_no").alias("doc_id"), "text")), "near-copies-found")
+    rows = numbered.select("row_no", "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(7)).alias("t2")).join(found.withColumnRenamed("doc_id", "row_no"), "row_no")
+    alone = F.col("n_shingles") == 0
+    same = [F.when(~alone, F.col("component_id")).alias("c"), F.when(alone, F.coalesce("doc_id", "row_no")).alias("d"), *(F.when(alone, F.col(t)).alias(t) for t in ("t1", "t2")), (alone & F.col("doc_id").isNull()).alias("unnamed")]
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2", "row_no")
+    stays = rows.groupBy(*same).agg(F.min(first).alias("first")).select("first.row_no")
+    return numbered.join(stays, "row_no", "left_semi").select(*docs.columns)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0])
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0])
+        discard(before)
     return docs
