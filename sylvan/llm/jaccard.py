@@ -2,12 +2,15 @@
 
 Jaccard distance is a metric, and pivots cut its space into regions:
 
-1. First-level pivots are the one-shingle sets. A document is nearer than 1 to
+1. First-level pivots are the one-shingle sets, and what parts the data is the window
+   of the triangle inequality around them. A document is nearer than 1 to
    the pivots of its own shingles only; of these it is copied into the regions
    of its first floor((1 - t) * n) + 1 shingles, least frequent first: two
    documents within the threshold can't miss each other in all of them (else
    their symmetric difference, a metric too, would be too large). The window is
-   narrower on the smaller side of a pair (``short``).
+   narrower on the smaller side of a pair (``short``). In effect this is a prefix filter: between
+   documents of natural text almost all distances are 1, so that document pivots alone would
+   put nearly all rows into one region.
 2. In each region a document is the pivot. A document is compared first with the
    pivot that it shares most regions with (its Voronoi cell), then with those of
    its other regions. What is linked to one pivot needs no comparison within
@@ -24,8 +27,9 @@ it only orders shingles, and any order gives the same result.
 
 Cases: null or empty text, or white space only: no shingles, linked with nothing;
 texts of fewer than ``size`` words are one shingle; a null doc_id has no links and
-a null component; rows that repeat a doc_id count as one document; no rows give
-none; other columns are not read.
+a null component; rows that repeat a doc_id are one document, linked with whatever one
+of its texts is, and each gets a row with its own n_shingles and their common component (but for
+one without shingles); no rows give none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -183,6 +187,8 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -200,11 +206,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """Regions with each document's present component, without regions that hold one component only."""
     regions = regions.drop("label")
-    if labels is None:
-        return regions.withColumn("label", F.col("doc"))
     found = regions.join(labels, regions["doc"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("component", "doc")).drop("component")
     open_ones = found.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
     return found.join(open_ones, "region", "left_semi")
@@ -255,9 +259,10 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
         free_shuffles(spark)
         return out
 
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-    current, many = _labelled(regions, None), 1
+    # the different texts of one doc_id are linked
+    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(*(f(h).alias(f.__name__ + h) for h in ("h1", "h2") for f in (F.min, F.max))).where("minh1 < maxh1 or minh2 < maxh2").select("doc_id")
+    labels = components(rows.where("n > 0").join(several, "doc_id").join(groups, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    current, many = _labelled(regions, labels), 1
     while True:
         # each region's pivots, and the documents that may link to them
         pivots = materialize(_pivots(current, many), "jaccard-pivots")
@@ -265,13 +270,11 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
         pairs = materialize(near.groupBy(F.col("x.doc").alias("a"), F.col("p.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-near")
         nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
         known = verified(nearest)
-        links.append(known.where("linked").select("a", "b"))
-        labels = _union_components(links)
+        labels = _linked(labels, known)
         left = current
         if many > 1:  # compare with the other pivots too; then these are done with
             others = verified(_apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels))
-            links.append(others.where("linked").select("a", "b"))
-            labels = _union_components(links)
+            labels = _linked(labels, others)
             known = known.unionByName(others)
             left = current.join(pivots.select("region", "doc"), ["region", "doc"], "left_anti")
         ring = pivots.select("region", F.col("doc").alias("pivot")) if many == 1 else pivots.groupBy("region").agg(F.min("doc").alias("pivot"))
@@ -294,25 +297,21 @@ def jaccard_components(documents: DataFrame, params: JoinParams | None = None) -
             pairs = materialize(pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("regions")), "jaccard-near")
             # each document's nearest first: what these link needs no more comparing
             nearest = pairs.groupBy("a").agg(F.max(F.struct("regions", (-F.col("b")).alias("nb"))).alias("best")).select("a", (-F.col("best.nb")).alias("b"))
-            links.append(verified(nearest).where("linked").select("a", "b"))
-            labels = _union_components(links)
-            links.append(verified(_apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels)).where("linked").select("a", "b"))
-            labels = _union_components(links)
+            labels = _linked(labels, verified(nearest))
+            labels = _linked(labels, verified(_apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), labels)))
             discard(pairs)
             break
     labels = materialize(labels, "jaccard-labels")
     discard(regions)
     named = groups.join(labels, groups["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(named, ["h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _union_components(links: list[DataFrame]) -> DataFrame:
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return components(every)
+def _linked(labels: DataFrame, verified: DataFrame) -> DataFrame:
+    """The components after more links: these join the stars that there are."""
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified.where("linked").select("a", "b")))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def test_jaccard_edge_cases(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=str) == sorted([(5, 3), (5, 3), (None, None), (3, 3), (9, 9)], key=str)
 
 
+def test_jaccard_links_the_texts_of_a_repeated_id(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(9)) for x in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (9, texts[1]), (7, texts[2]), (7, texts[3]), (7, None), (8, texts[3])]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOC).repartition(3)).collect())
+    assert got == [(3, 3, 5), (5, 3, 5), (5, 3, 5), (7, 7, 0), (7, 7, 5), (7, 7, 5), (8, 7, 5), (9, 3, 5)]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in jaccard.components(links).collect()}
