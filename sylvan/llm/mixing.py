@@ -14,7 +14,7 @@ give no rows; other columns are not read. Only DataFrame functions are used.
 
 No window spans a source: running sums and ranks go by (source, bucket) and are
 carried over small tables of bucket totals, so a source with a third of all rows
-is spread over many tasks.
+is spread over many tasks. Windows over all sources see one row for each of them.
 """
 
 from __future__ import annotations
@@ -93,8 +93,12 @@ def _schedule(spark: SparkSession, shares: DataFrame, p: MixParams, slots: int)
     ranked = drawn.withColumn("within", F.row_number().over(within) - 1).join(counts, ["source_no", "chunk"]).select("slot", "source_no", (F.col("base") + F.col("within")).alias("rank"))
     needed = shares.join(counts.groupBy("source_no").agg(F.sum("n").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     kept = ranked.join(shares.select("source_no", "need"), "source_no").where("rank < need").select("slot", "source_no", "rank")
-    lacking = needed.where("got < need").select("source_no", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    return kept.unionByName(lacking.select((F.lit(slots) + F.col("rank")).alias("slot"), "source_no", "rank"))
+    # blocks that the sequence has not met follow, source after source
+    lacking = needed.where("got < need").withColumn("lacks", F.col("need") - F.col("got"))
+    earlier = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    lacking = lacking.withColumn("base", F.coalesce(F.sum("lacks").over(earlier), F.lit(0)) - F.col("got"))
+    lacking = lacking.select("source_no", "base", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
+    return kept.unionByName(lacking.select((F.lit(slots) + F.col("base") + F.col("rank")).alias("slot"), "source_no", "rank"))
 
 
 def mix_sources(documents: DataFrame, params: MixParams | None = None) -> tuple[DataFrame, DataFrame]:
