@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,3 +146,57 @@ def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Ar
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that the caller's frame does not have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def sample_by_kind(rows: DataFrame, most: dict[object, int] | int) -> DataFrame:
+    """Of the rows (kind, doc_id, text), at most so many of each kind: those first in a hash order of doc_id and text, none twice.
+
+    Two passes, and no kind in one task: the number of different rows of each kind is estimated, rows beyond the share of the
+    hashes that surely holds enough are left out where they are read, and only the rest is ordered.
+    """
+    h = F.xxhash64("doc_id", "text", F.lit(5))
+    rows = rows.select(F.col("kind"), F.col("doc_id"), F.col("text"), h.alias("h"))
+    sizes = {x.kind: max(x.n, 1) for x in rows.groupBy("kind").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()}
+    limits = {k: most.get(k, 0) if isinstance(most, dict) else most for k in sizes}
+    ranges = [F.when(F.col("kind") == k, F.lit(int(min(1.0, (1.5 * limits[k] + 50) / n) * (1 << 31)))) for k, n in sizes.items()]
+    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(0))
+    near = rows.where(F.pmod(F.shiftright("h", 16), F.lit(1 << 31)) < F.coalesce(*ranges, F.lit(0)))
+    once = near.groupBy("kind", "h").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    first = Window.partitionBy("kind").orderBy(F.pmod(F.shiftright("h", 16), F.lit(1 << 31)), "h")
+    return once.withColumn("k", F.row_number().over(first)).where(F.col("k") <= limit).select("kind", "doc_id", "text", "h")
+
+
+def fit_in_task(sample: DataFrame, order: list[str], fit: Callable[[pa.Table], object], most_bytes: int, text: str = "text") -> object:
+    """What ``fit`` makes of the sample's rows in this order, of at most ``most_bytes`` of text. It runs in one task, so that the
+    driver gets the model and no texts; a lost executor's task runs again."""
+    names, types = sample.columns, sample.schema
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, room = [], most_bytes
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0)
+            room_after = pc.subtract(pa.scalar(room, pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64())))
+            fits = pc.greater_equal(room_after, pa.scalar(0, pa.int64())).to_pylist()
+            n = fits.index(False) if False in fits else len(fits)
+            parts.append(batch.slice(0, n))
+            if n < len(fits):
+                break
+            room = room_after[-1].as_py() if n else room
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(parts)) if parts else None)], pa.binary())], names=["model"])
+
+    made = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    model = pickle.loads(bytes(made[0][0])) if made else None
+    if model is None:  # there were no rows
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        model = fit(to_arrow_schema(types).empty_table())
+    return model

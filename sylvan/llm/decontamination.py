@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import append_columns, as_bytes, map_batches, materialize
+from sylvan.llm.common import append_columns, as_bytes, map_batches, materialize, unused
 
 #: Bytes that are no word characters become a space, A-Z becomes a-z.
 _TO_WORDS = bytes(0x20 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -155,41 +156,65 @@ def _blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[WordA
     yield WordAutomaton(items, size)
 
 
+def _scanner(shared) -> Callable[[pa.Array], list[pa.Array]]:
+    """Of texts: their numbers of words, the packed bits of the words hit (null for none) and the items, sorted."""
+
+    def scan(texts: pa.Array) -> list[pa.Array]:
+        index = shared.value
+        counts, hits, named = [], [], []
+        for text in as_bytes(texts):
+            words = item_words(text)
+            hit, found = index.scan(words)
+            counts.append(len(words))
+            hits.append(np.packbits(hit).tobytes() if hit.any() else None)
+            named.append(sorted(map(str, found)))
+        return [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(named, pa.list_(pa.string()))]
+
+    return scan
+
+
 def scan_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 8, block_words: int = 100_000) -> DataFrame:
-    """The documents (with a string column text) with bench_words (their number), bench_hits (a bit per word, packed;
-    null for none) and bench_items (ids as strings, sorted)."""
-    sc = documents.sparkSession.sparkContext
-    columns = documents.columns
-    out = documents
-    for number, automaton in enumerate(_blocks(benchmark, size, block_words)):
+    """The documents (with a string column text) with three columns more at the end: bench_words, their number, bench_hits, the
+    words hit (a bit per word, packed; null for none) and bench_items (ids as strings, sorted). Where the documents have a
+    column of such a name, the new one's name gets an underscore more.
+
+    A benchmark of one block is scanned in one pass. Else the documents are written once, with a number for each row; each
+    block's pass writes what it hits and nothing of other rows, and the hits, put together by row, meet the documents at the end.
+    """
+    sc, columns = documents.sparkSession.sparkContext, documents.columns
+    names = [unused(columns, x) for x in ("bench_words", "bench_hits", "bench_items")]
+    added = ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "binary", "array<string>"), strict=True))
+    blocks = _blocks(benchmark, size, block_words)
+    automaton, after = next(blocks), next(blocks, None)
+    if after is None:
+        return append_columns(documents, ["text"], _scanner(sc.broadcast(automaton)), added)
+    row = unused([*columns, *names], "row_no")
+    numbered = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "decontamination")
+    parts: list[DataFrame] = []
+    while automaton is not None:
         shared = sc.broadcast(automaton)
+        found = append_columns(numbered.select(row, "text"), ["text"], _scanner(shared), added)
+        parts.append(materialize(found.where(F.size(names[2]) > 0).select(row, *names[1:]), "decontamination-hits"))
+        shared.destroy()
+        automaton, after = after, next(blocks, None)
+    hits = reduce(DataFrame.unionByName, parts)
+    # a row has at most one part for each block
+    hits = hits.groupBy(row).agg(F.collect_list(names[1]).alias("hit_parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias("item_parts"))
+    both = numbered.join(hits, row, "left").drop(row)
+
+    def joined(texts: pa.Array, hit_parts: pa.Array, items: pa.Array) -> list[pa.Array]:
+        bits = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in some]).tobytes() if some else None for some in hit_parts.to_pylist()]
+        return [pa.array([len(item_words(t)) for t in as_bytes(texts)], pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x or ()) for x in items.to_pylist()], pa.list_(pa.string()))]
 
-        def scan(texts: pa.Array, before: pa.Array | None = None, items: pa.Array | None = None, shared=shared) -> list[pa.Array]:
-            index = shared.value
-            counts, hits, named = [], [], []
-            n = len(texts)
-            for text, bits, names in zip(as_bytes(texts), before.to_pylist() if before else [None] * n, items.to_pylist() if items else [()] * n, strict=True):
-                words = item_words(text)
-                hit, found = index.scan(words)
-                packed = np.packbits(hit)
-                if bits:
-                    packed |= np.frombuffer(bits, np.uint8)
-                counts.append(len(words))
-                hits.append(packed.tobytes() if packed.any() else None)
-                named.append(sorted({*map(str, found), *names}))
-            return [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(named, pa.list_(pa.string()))]
-
-        if number:
-            out = materialize(out.select(*columns, F.col("bench_hits").alias("hits_before"), F.col("bench_items").alias("items_before")), "decontamination")
-        reads = ["text", "hits_before", "items_before"] if number else ["text"]
-        out = append_columns(out, reads, scan, "bench_words long, bench_hits binary, bench_items array<string>")
-    return out.select(*columns, "bench_words", "bench_hits", "bench_items")
+    both = append_columns(both, ["text", "hit_parts", "item_parts"], joined, added)
+    return both.select(*(F.col(f"`{c}`") for c in (*columns, *names)))
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2) -> DataFrame:
     """The digest of op10: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = scan_benchmark(rows, benchmark, size)
+    names = scanned.columns[-3:]
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(2).to_pylist()]
@@ -198,7 +223,7 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, size: int =
         n = pa.array([len(x) for x in items], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), n, pa.array(shas)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = map_batches(scanned.select("doc_id", "bench_words", "bench_hits", "bench_items"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = map_batches(scanned.select("doc_id", *names), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_items") >= least_items)
 
 
@@ -224,6 +249,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 8, lea
     than ``coverage`` are hit, goes; in others each hit span is cut out.
     """
     scanned = scan_benchmark(documents, benchmark, size)
+    names = scanned.columns[-3:]
+    keep_name, text_name = (unused(scanned.columns, x) for x in ("bench_keep", "bench_text"))
 
     def clean(texts: pa.Array, words: pa.Array, hits: pa.Array, items: pa.Array) -> list[pa.Array]:
         kept, cleaned = [], []
@@ -237,8 +264,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 8, lea
             cleaned.append(text)
         return [pa.array(kept, pa.bool_()), pa.array(cleaned, pa.string())]
 
-    done = append_columns(scanned, ["text", "bench_words", "bench_hits", "bench_items"], clean, "bench_keep boolean, bench_text string")
-    return done.where("bench_keep").select(*(F.col("bench_text").alias("text") if c == "text" else F.col(c) for c in documents.columns))
+    done = append_columns(scanned, ["text", *names], clean, f"{keep_name} boolean, {text_name} string")
+    return done.where(keep_name).select(*(F.col(text_name).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

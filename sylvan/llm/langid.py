@@ -9,8 +9,9 @@ Cases: null text, or text without a letter, is ``und`` with score 0; where nothi
 could be learned every text is ``und``; ties go to the language first in order of
 code points; repeated rows each get their row; other columns are not read.
 
-The models are learned from at most ``docs_per_language`` labelled documents of
-each language, those first in a hash order of doc_id; whole texts are used.
+The models are learned from a sample of labelled rows, in one task: at most ``docs_per_language``
+of each of the ``most_languages`` most frequent languages, those first in a hash order of
+doc_id and text, equal rows once, and at most ``sample_bytes`` of whole texts.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import fold_of, map_batches, table
+from sylvan.llm.common import fit_in_task, fold_of, map_batches, sample_by_kind, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, in order, each up to the next.
@@ -58,6 +59,8 @@ BUCKETS = 1 << 16
 @dataclass(frozen=True)
 class LangParams:
     docs_per_language: int = 1500
+    most_languages: int = 256
+    sample_bytes: int = 64_000_000
     longest_gram: int = 4
     smoothing: float = 0.5
     penalty: float = 6.0
@@ -191,15 +194,18 @@ def fit(documents: DataFrame, usable: Column, params: LangParams | None = None)
     """Learn from the documents for which ``usable`` holds and lang is not null."""
     p = params or LangParams()
     rows = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= p.docs_per_language).select("doc_id").distinct()
-    sample = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    labels = sample.column("lang").to_pylist()
-    model = LanguageModel(p, sorted(set(labels)))
-    for label, text in zip(labels, sample.column("text"), strict=True):
-        model.learn(label, text.as_py())
-    return model.finish()
+    rows = rows.select(F.col("lang").cast("string").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    frequent = [x[0] for x in rows.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(p.most_languages).collect()]
+    sample = sample_by_kind(rows.where(F.col("kind").isin(frequent)), p.docs_per_language) if frequent else rows.limit(0)
+
+    def learn(table: pa.Table) -> LanguageModel:
+        labels = table.column("kind").to_pylist()
+        model = LanguageModel(p, sorted(set(labels)))
+        for label, text in zip(labels, table.column("text"), strict=True):
+            model.learn(label, text.as_py())
+        return model.finish()
+
+    return fit_in_task(sample, ["h", "kind", "doc_id"] if frequent else ["doc_id"], learn, p.sample_bytes)
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:

@@ -112,6 +112,68 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, bare).agg(F.max("tox_score")).first()[0] == 0
 
 
+def _small_network():
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(toxicity.CnnParams())
+    words = [b"w%d" % k for k in range(30)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 30, n)) for n in (0, 1, 2, 3, 17, 60)]
+    coded = toxicity.Coded(texts)
+    model.table += rng.normal(0, 0.3, model.table.shape).astype(np.float32)
+    return model, coded
+
+
+def test_toxicity_logits_of_a_block_are_those_of_its_texts():
+    model, coded = _small_network()
+    want = [float(model._forward(model._pad(coded, k))[0] @ model.out + model.offset) for k in range(len(coded.texts))]
+    for block in (1, 5, 10_000):
+        assert np.allclose(model.logits(coded, block), want, atol=1e-4)
+
+
+def test_toxicity_gradients_by_finite_differences():
+    model, coded = _small_network()
+    for name in ("table", "out", "offset"):
+        setattr(model, name, np.asarray(getattr(model, name), np.float64))
+    model.filters = {w: f.astype(np.float64) for w, f in model.filters.items()}
+    model.bias = {w: b.astype(np.float64) + 0.3 for w, b in model.bias.items()}
+    k, y = 4, 1.0
+    model._pad = lambda c, i: np.concatenate([np.zeros((2, 12)), model.table[c.features[c.texts[i]]].sum(axis=1), np.zeros((2, 12))])
+
+    def loss():
+        z = model._forward(model._pad(coded, k))[0] @ model.out + model.offset
+        return math.log1p(math.exp(-z)) if y else math.log1p(math.exp(z))
+
+    dense = model.dense()
+    grads, touched = {key: np.zeros_like(v) for key, v in dense.items()}, []
+    model.gradients(coded, k, y, 1.0, grads, touched)
+    table = np.zeros_like(model.table)
+    for rows, g in touched:
+        for r in rows:
+            table[r] += g
+    rng, step = np.random.default_rng(0), 1e-6
+    for values, got in [*((dense[key], grads[key]) for key in dense), (model.table, table)]:
+        used = np.flatnonzero(got) if got is table else np.arange(got.size)
+        for at in rng.choice(used, 8):
+            was = values.flat[at]
+            values.flat[at] = was + step
+            up = loss()
+            values.flat[at] = was - step
+            down = loss()
+            values.flat[at] = was
+            assert math.isclose((up - down) / (2 * step), got.flat[at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_samples_are_bounded_and_blind_to_repeats(spark):
+    from sylvan.llm.common import fit_in_task, sample_by_kind
+
+    rows = [("a", i, f"text {i}") for i in range(900)] + [("b", 7, "the same")] * 500 + [("c", i, "x" * 100) for i in range(5)]
+    df = spark.createDataFrame(rows, "kind string, doc_id long, text string")
+    got = [sorted(tuple(r)[:3] for r in sample_by_kind(df.repartition(n), 50).collect()) for n in (2, 7)]
+    assert got[0] == got[1]
+    assert {k: sum(r[0] == k for r in got[0]) for k in "abc"} == {"a": 50, "b": 1, "c": 5}
+    assert fit_in_task(sample_by_kind(df, {"c": 9}), ["h"], lambda t: t.num_rows, 350) == 3
+    assert fit_in_task(df.limit(0), ["doc_id"], lambda t: t.num_rows, 350) == 0
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels, fold_of(F.col("doc_id"), 5) != 3, quality.CoTrainParams(pool=300, exchanged=30))
