@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.catalog_functions import FUNCTIONS
 from sylvan.operators import axes, grouping, joins, ordering, rules, validation
 from sylvan.plans.query import Query, compile_row
 from sylvan.sources import nodes as trees
@@ -325,7 +326,19 @@ row("higher_order", "part", {"p_partkey": ("p_partkey", None), "a": ("fold-left(
 row("maps_arrays", "part", {"p_partkey": ("p_partkey", None), "a": ("map{'size': p_size, 'two': 2}?size", "long"), "b": ("map:size(map:put(map{'a': 1}, p_brand, 2))", "long"), "c": ("array:get([p_size, 7], 2)", "long"), "d": ("sum(array:flatten(array:append([1, 2], p_size)))", "long"), "e": ("map:merge((map{'a': 1}, map{'a': p_size, 'b': 3}))?a", "long"), "f": ("array:size(array:subarray([1, 2, 3], 2))", "long")}, "SELECT p_partkey, p_size AS a, 2::BIGINT AS b, 7::BIGINT AS c, 3 + p_size AS d, 1::BIGINT AS e, 2::BIGINT AS f FROM (SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part)")
 row("casts", "events", {"event_id": ("event_id", None), "a": ("xs:string(event_id)", None), "b": ("xs:integer(value)", "long"), "c": ("event_type castable as xs:integer", None), "d": ("number(event_type) = 1e0", None), "e": ("event_id instance of xs:integer", None), "f": ("boolean(event_type) and not(value < 0)", None)}, "SELECT event_id, CAST(event_id AS VARCHAR) AS a, CAST(trunc(value) AS BIGINT) AS b, false AS c, false AS d, true AS e, event_type <> '' AND NOT value < 0 AS f FROM events")
 row("general_comparison", "customer", {"c_custkey": ("c_custkey", None), "a": ("c_nationkey = (1, 2, 3)", None), "b": ("c_nationkey != (1, 1)", None), "c": ("(1, 10) < c_nationkey", None), "d": ("c_mktsegment = ('BUILDING', 'MACHINERY')", None), "e": ("c_acctbal gt 0e0", None)}, "SELECT c_custkey, c_nationkey IN (1, 2, 3) AS a, c_nationkey <> 1 AS b, 1 < c_nationkey AS c, c_mktsegment IN ('BUILDING', 'MACHINERY') AS d, c_acctbal > 0 AS e FROM customer")
-row("formats", "orders", {"o_orderkey": ("o_orderkey", None), "a": ("format-integer(o_orderkey, '#,##0')", None), "b": ("format-number(o_totalprice, '#,##0.00')", None), "c": ("format-integer(o_custkey mod 30 + 1, 'i')", None)}, None)
+row("formats", "orders", {"o_orderkey": ("o_orderkey", None), "a": ("format-integer(o_orderkey, '#,##0')", None), "b": ("format-number(o_totalprice, '#,##0.00')", None), "c": ("format-integer(o_custkey mod 30 + 1, 'i')", None)}, "SELECT o_orderkey, format('{:,}', o_orderkey) AS a, format('{:,.2f}', o_totalprice) AS b, ['', 'x', 'xx', 'xxx'][(o_custkey % 30 + 1) // 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(o_custkey % 30 + 1) % 10 + 1] AS c FROM orders")
+
+
+def _functions(name: str, source: str, key: str, columns: list[tuple[str, str | None, str]]) -> None:
+    """The expressions as columns c1, c2, ... beside the key; SQL sees the tables' whole numbers as wide as the language has them."""
+    wide = {"part": ["p_size"], "customer": ["c_nationkey"], "nation": ["n_nationkey"]}.get(source, [])
+    rows = f"(SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in wide)}) FROM {source})" if wide else source
+    made = {key: (key, "long")} | {f"c{k + 1}": (text, to) for k, (text, to, _) in enumerate(columns)}
+    row(name, source, made, f"SELECT {key}, " + ", ".join(f"{q} AS c{k + 1}" for k, (*_, q) in enumerate(columns)) + f" FROM {rows}")
+
+
+for _name, _spec in FUNCTIONS.items():
+    _functions(_name, *_spec)
 
 
 @query("json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -335,7 +348,7 @@ def json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", json_get(F.col("props"), "$.k", "long").alias("k"))
 
 
-@query("analyze_string", None)
+@query("analyze_string", "SELECT p_partkey, i - 1 AS n, i % 2 = 1 AS is_match, CASE WHEN i % 2 = 1 THEN w[(i + 1) // 2] ELSE ' ' END AS text, CASE WHEN i % 2 = 1 THEN w[(i + 1) // 2][1] || ',' || w[(i + 1) // 2][2:] ELSE '' END AS groups FROM (SELECT p_partkey, string_split(p_type, ' ') AS w, unnest(range(1, 2 * len(string_split(p_type, ' ')))) AS i FROM part)")
 def analyze_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.functions.strings import analyze_string as analyze
 
@@ -382,7 +395,7 @@ def validate_keyref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.dangling(table(spark, sf_dir, "orders"), ["o_custkey"], table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_custkey"]).select("o_orderkey")
 
 
-@query("schema_view", None)
+@query("schema_view", "SELECT * FROM (VALUES ('/vec_id', 'bigint', true), ('/embedding', 'array<float>', true), ('/label', 'int', true)) AS t(path, type, nullable)")
 def schema_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.schema_view(table(spark, sf_dir, "embeddings"))
 
@@ -469,11 +482,38 @@ def tree_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.element_at("attrs", "id").alias("id"), (F.col("accumulator_before") - hundreds).cast("long").alias("before"), F.col("accumulator_after").cast("long").alias("after"))
 
 
-@query("tree_paths", None)
+_TREE = "SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"
+
+
+@query("tree_paths", f"SELECT DISTINCT doc_id, 1 AS node_id, '/orders[1]' AS path FROM ({_TREE}) UNION ALL SELECT doc_id, 5 * r - 3 + step AS node_id, '/orders[1]/order[' || r || ']' || rest AS path FROM ({_TREE}), (VALUES (0, ''), (1, '/status[1]'), (3, '/priority[1]')) AS s(step, rest)")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.paths(_order_trees(spark, sf_dir))
 
 
+def _axis(axis: str, n: str) -> None:
+    """How many elements (or attributes, namespaces) each order has on an axis, for orders that have any."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = _order_trees(spark, sf_dir)
+        orders = nodes.where("local = 'order'")
+        test = None if axis in ("attribute", "namespace") else axes.node_test()
+        counts = axes.step(orders, nodes, axis, test).groupBy("doc_id", "ctx_id").agg(F.count("*").alias("n"))
+        named = orders.select("doc_id", F.col("node_id").alias("ctx_id"), F.element_at("attrs", "id").alias("id"))
+        return named.join(counts, ["doc_id", "ctx_id"]).select("doc_id", "id", "n")
+
+    query(f"tree_axis_{axis.replace('-', '_')}", f"SELECT doc_id, id, {n} AS n FROM ({_TREE}) WHERE {n} > 0")(run)
+
+
+for _name, _n in {"self": "1", "child": "2", "descendant": "2", "descendant-or-self": "3", "parent": "1", "ancestor": "1", "ancestor-or-self": "2", "attribute": "1", "namespace": "1", "following-sibling": "n - r", "preceding-sibling": "r - 1", "following": "3 * (n - r)", "preceding": "3 * (r - 1)"}.items():
+    _axis(_name, _n)
+
+
+@query("tree_pattern", "SELECT o_custkey::VARCHAR AS doc_id, count(*) AS n FROM orders GROUP BY 1")
+def tree_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that match the pattern orders/order/status."""
+    return axes.match_pattern(_order_trees(spark, sf_dir), "orders", "order", "status").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query("tree_string_values", "SELECT o_custkey::VARCHAR AS doc_id, string_agg(o_orderstatus || o_orderpriority, '' ORDER BY o_orderkey) AS text FROM orders GROUP BY 1")
 def tree_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _order_trees(spark, sf_dir)

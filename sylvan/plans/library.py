@@ -143,6 +143,8 @@ def _fold(right: bool) -> Callable[..., Val]:
             start = Val(as_number(zero, kind), kind)
             state = Val(None, kind)
             order = (_item(v), state) if right else (state, _item(v))
+        if start.kind == "integer":
+            start = replace(start, col=start.col.cast("long"))
         step = _lambda(f, *order)
         return Val((sequences.fold_right if right else sequences.fold_left)(v.col, start.col, step), start.kind)
 
@@ -204,6 +206,19 @@ def _error(code: Val | None = None, text: Val | None = None, value: Val | None =
     return Val(F.raise_error(message), "any")
 
 
+def _map_merge(v: Val, options: Val | None = None) -> Val:
+    """Later maps give the keys that earlier ones lack, or the other way round; reject raises for a key of two maps."""
+    chosen = options.const.get("duplicates") if options is not None and isinstance(options.const, dict) else None
+    duplicates = str(const(chosen, "duplicates")) if chosen is not None else "use-first"
+    start = F.create_map().cast(v.dtype.simpleString()) if v.dtype is not None else F.create_map()
+    if duplicates == "reject":
+        clash = F.lit("FOJS0003: a key of several maps")
+        merged = lambda a, b: F.when(F.arrays_overlap(F.map_keys(a), F.map_keys(b)), F.raise_error(clash)).otherwise(C.map_merge(a, b))
+    else:
+        merged = lambda a, b: C.map_merge(a, b, duplicates=duplicates)
+    return Val(F.aggregate(v.col, start, merged), "map", False, None, v.dtype)
+
+
 # aggregates over a sequence in a row; over rows of a table see plans.query
 _add("fn:count", 1, "C", lambda v: Val(sequences.count(_atoms(v).col).cast("long"), "integer"))
 _add("fn:sum", (1, 2), "A", _sum)
@@ -353,11 +368,11 @@ _add("fn:serialize", (1, 2), "P", lambda v, o=None: Val(C.to_json(v.col) if v.ki
 # maps
 _add("map:contains", 2, "C", _map(C.map_contains, "boolean"))
 _add("map:entry", 2, "C", _map(C.map_entry, "map"))
-_add("map:find", 2, "P", lambda v, k: Val(C.map_find(C.to_json(v.col) if v.kind != "string" else v.col, str(const(k))), "string", True))
+_add("map:find", 2, "P", lambda v, k: Val(F.transform(C.map_find(C.to_json(v.col) if v.kind != "string" else v.col, str(const(k))), lambda x: F.get_json_object(x, "$")), "string", True))
 _add("map:for-each", 2, "A", lambda m, f: Val(C.map_for_each(m.col, _lambda(f, Val(None, "any"), _value_kind(m))), _result(f, Val(None, "any"), _value_kind(m)).kind, True))
 _add("map:get", 2, "C", _map_get)
 _add("map:keys", 1, "C", _map(C.map_keys, "any", True))
-_add("map:merge", (1, 2), "A", lambda v, o=None: Val(F.aggregate(v.col, F.create_map().cast(v.dtype.simpleString()) if v.dtype is not None else F.create_map(), lambda a, b: C.map_merge(a, b)), "map", False, None, v.dtype))
+_add("map:merge", (1, 2), "A", _map_merge)
 _add("map:put", 3, "A", _same(C.map_put))
 _add("map:remove", 2, "A", lambda m, k: replace(m, col=C.map_remove(m.col, _atoms(k).col), const=None))
 _add("map:size", 1, "C", _map(C.map_size, "integer"))
