@@ -1,19 +1,22 @@
 """HTML main-text extraction by wrappers: union-free regular expressions over a host's pages.
 
-A page is a tree of block elements; adjacent siblings of one shape are a repeated
-group from the start. The wrapper of a host grows by aligning one page after the
-other: text that differs becomes a slot, a part that one side lacks becomes
-optional, a part that follows itself becomes repeated; alternatives (unions) never
-arise, for a list of children that grows too long becomes a group with a node for
+A page is a stream of tokens: start tags and end tags of block elements, and runs of text. A start
+tag and its end tag bracket a part of the stream, and streams are aligned bracket by bracket, so
+that the expression stays balanced. The wrapper of a host grows by aligning one page's stream after
+the other's with it, by a longest common subsequence: a text that differs becomes a slot, tokens that one side lacks become an
+optional group, and if such a group follows or precedes its like they become a repeated one; alternatives (unions) never
+arise, for a list that grows too long becomes a group with a node for
 each signature, and the signatures that some page lacks one for each tag once they
 are more than 4 * ``longest_list``. Wrappers align with wrappers the same way, so they are built per task
-and then put together. A wrapper says where the content is: all article or main
-elements of a page (teasers of other pages aside), or else the elements at the path that
-holds most of the slots' text, joined in page order; and, outside an
-article, which texts are the same on all pages, if there are three that differ: pages
-of equal content are copies, and count once. Elements that are by their role
+and then put together.
+
+The wrapper decides what is content: from the page down, the element that holds most of the slots' text,
+as long as one does, and of it all texts that are not the same on all pages, in page order.
+That takes three pages that differ (pages of equal content are copies, and count once). Names are hints: where
+that element lies in an article or main element, or one in it holds most of its slots, these elements (teasers of
+other pages aside) are the content with all their texts; with fewer pages than three, or no slot, they are too, if there are any. Elements that are by their role
 no content (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-never are.
+never are, and their texts count for nothing.
 
 Cases: null or empty html gives an empty text; a page without url, or of a host of
 its own, is wrapped alone; truncated markup and unclosed elements end with the
@@ -54,7 +57,7 @@ NO_CONTENT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner",
 LAYOUT_WORDS = {"container", "has", "layout", "no", "page", "with", "without", "wrapper"}
 #: Words by which an article speaks of another page; it is left out where the page has an article without them.
 TEASER_WORDS = {"promo", "related", "sponsored", "teaser", "teasers"}
-#: Elements nested deeper are read as part of the one around them.
+#: Elements nested deeper are read as part of the one around them, but for those that are no content.
 DEEPEST = 200
 #: Start tags that end an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -70,10 +73,10 @@ class WrapperParams:
 
 
 class Element:
-    __slots__ = ("boiler", "children", "links", "sig", "tag", "teaser")
+    __slots__ = ("boiler", "children", "depth", "links", "sig", "tag", "teaser")
 
-    def __init__(self, tag: str, sig: str, boiler: bool, teaser: bool = False):
-        self.tag, self.sig, self.boiler, self.teaser = tag, sig, boiler, teaser
+    def __init__(self, tag: str, sig: str, boiler: bool, teaser: bool = False, depth: int = 0):
+        self.tag, self.sig, self.boiler, self.teaser, self.depth = tag, sig, boiler, teaser, depth
         self.children: list[Element | str] = []
         self.links = 0
 
@@ -81,14 +84,15 @@ class Element:
 def parse(page: str) -> Element:
     """The tree of block elements; texts are raw runs between block borders, None-separated by the elements."""
     root = Element("#page", "#page", False)
-    stack, skip_to, in_link = [root], None, 0
+    # open tags, each with the element that their texts go to
+    stack, in_link = [("#page", root)], 0
     text: list[str] = []
 
     def flush() -> None:
         if text:
             words = html_entities.unescape("".join(text)).split()
             if words:
-                stack[-1].children.append(" ".join(words))
+                stack[-1][1].children.append(" ".join(words))
             text.clear()
 
     at, end = 0, len(page)
@@ -98,7 +102,7 @@ def parse(page: str) -> Element:
         slash, name, rest, run = found.groups()
         if run is not None:
             text.append(run)
-            stack[-1].links += len(run) if in_link else 0
+            stack[-1][1].links += len(run) if in_link else 0
             continue
         if name is None:
             continue
@@ -127,38 +131,47 @@ def parse(page: str) -> Element:
             continue
         if slash:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
+                if stack[k][0] == name:
                     del stack[k:]
                     break
             continue
-        if stack[-1].tag in ENDS.get(name, {"p"}):
+        if stack[-1][0] in ENDS.get(name, {"p"}):
             stack.pop()
-            if name == "tr" and stack[-1].tag == "tr":
+            if name == "tr" and stack[-1][0] == "tr":
                 stack.pop()
-        if len(stack) >= DEEPEST:
-            continue
         named = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)} if rest else {}
         marks = {w for k in ("class", "id") for w in WORDS.findall(named.get(k, ""))}
-        inside = any(e.tag in ("article", "main") for e in stack)
+        around = stack[-1][1]
+        inside = name == "header" and any(tag in ("article", "main") for tag, _ in stack)
         boiler = name in NO_CONTENT or (name == "header" and not inside) or bool(marks & NO_CONTENT_WORDS and not marks & LAYOUT_WORDS and name not in ("article", "body", "html", "main")) or named.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search") or (name == "article" and bool(marks & {"comment", "comments", "reply"}))
+        if around.depth >= DEEPEST and (around.boiler or not boiler):
+            stack.append((name, around))
+            continue
         sig = name + "".join("." + w for w in sorted(marks)[:4])
-        made = Element(name, sig, boiler, stack[-1].teaser or bool(marks & TEASER_WORDS and not marks & LAYOUT_WORDS))
-        stack[-1].children.append(made)
-        stack.append(made)
+        made = Element(name, sig, boiler, around.teaser or bool(marks & TEASER_WORDS and not marks & LAYOUT_WORDS), around.depth + 1)
+        around.children.append(made)
+        stack.append((name, made))
     flush()
     return root
 
 
-# A wrapper node: [sig, flags, pages, text, chars, children]; text is None (none), a checksum (the same everywhere) or 1 (a slot).
+# A wrapper node: [sig, flags, pages, text, chars, children], for a run of text (sig "#text") or what an element's tags
+# bracket; text is None (an element), a checksum (the same everywhere) or 1 (a slot).
 OPTIONAL, REPEATED, BOILER, FOLDED = 1, 2, 4, 8
 SLOT = 1
 
 
+TEXT = "#text"
+
+
+def mark_of(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) + 2
+
+
 def wrapper_of(e: Element, p: WrapperParams) -> list:
-    texts = [c for c in e.children if isinstance(c, str)]
-    mark = zlib.crc32("\n".join(texts).encode("utf-8", "replace")) + 2 if texts else None
-    node = [e.sig, BOILER if e.boiler else 0, 1, mark, sum(map(len, texts)), _collapsed([wrapper_of(c, p) for c in e.children if not isinstance(c, str)], p)]
-    return node
+    """The expression of one page's tokens."""
+    tokens = [[TEXT, 0, 1, mark_of(c), len(c), []] if isinstance(c, str) else wrapper_of(c, p) for c in e.children]
+    return [e.sig, BOILER if e.boiler else 0, 1, None, 0, _collapsed(tokens, p)]
 
 
 def content_mark(root: Element) -> bytes:
@@ -179,19 +192,22 @@ def content_mark(root: Element) -> bytes:
 
 
 def _collapsed(nodes: list[list], p: WrapperParams) -> list[list]:
-    """Adjacent repeats of one, two or three nodes become repeated groups; a list still too long has a node for each signature."""
-    nodes = _adjacent(nodes, p)
+    """A page's own list stays as it is; one too long has its adjacent repeats as groups and, if still too long, a node for each signature."""
+    if len(nodes) > p.longest_list:
+        nodes = _adjacent(nodes, p, True)
     return _folded(nodes, p) if len(nodes) > p.longest_list else nodes
 
 
-def _adjacent(nodes: list[list], p: WrapperParams) -> list[list]:
+def _adjacent(nodes: list[list], p: WrapperParams, always: bool = False) -> list[list]:
+    """One, two or three nodes that follow their like, which some page lacks or repeats (or always), become repeated groups."""
     for width in (1, 2, 3):
         out: list[list] = []
         k = 0
         while k < len(nodes):
-            if len(out) >= width and k + width <= len(nodes) and [n[0] for n in out[-width:]] == [n[0] for n in nodes[k : k + width]]:
+            before, here = out[-width:], nodes[k : k + width]
+            if len(before) == len(here) == width and [n[0] for n in before] == [n[0] for n in here] and (always or any(n[1] & (OPTIONAL | REPEATED) for n in (*before, *here))):
                 for i in range(width):
-                    out[i - width] = _aligned(out[i - width], nodes[k + i], p, within=True)
+                    out[i - width] = _aligned(before[i], here[i], p, within=True)
                     out[i - width][1] |= REPEATED
                 k += width
             else:
@@ -246,26 +262,34 @@ def _aligned(a: list, b: list, p: WrapperParams, within: bool = False) -> list:
 
 
 def _merged(a: list[list], b: list[list], p: WrapperParams) -> list[list]:
-    """Children aligned by a longest common subsequence of signatures, or by signature where a list is too long; what one side lacks is optional."""
+    """Two streams aligned by a longest common subsequence of signatures, or by signature where one is too long; what one side lacks is optional."""
     if any(n[1] & FOLDED for n in (*a, *b)):
         return _united(_folded(a, p), _folded(b, p), p)
-    n, m = len(a), len(b)
+    begin = end = 0
+    while begin < min(len(a), len(b)) and a[begin][0] == b[begin][0]:
+        begin += 1
+    while end < min(len(a), len(b)) - begin and a[-1 - end][0] == b[-1 - end][0]:
+        end += 1
+    mid_a, mid_b = a[begin : len(a) - end], b[begin : len(b) - end]
+    n, m = len(mid_a), len(mid_b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+            best[i][j] = best[i + 1][j + 1] + 1 if mid_a[i][0] == mid_b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [_aligned(x, y, p) for x, y in zip(a[:begin], b[:begin], strict=True)], 0, 0
     while i < n and j < m:
-        if a[i][0] == b[j][0]:
-            out.append(_aligned(a[i], b[j], p))
+        if mid_a[i][0] == mid_b[j][0]:
+            out.append(_aligned(mid_a[i], mid_b[j], p))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
+            out.append(_optional(mid_a[i]))
             i += 1
         else:
-            out.append(_optional(b[j]))
+            out.append(_optional(mid_b[j]))
             j += 1
-    out = _adjacent([*out, *map(_optional, (*a[i:], *b[j:]))], p)
+    out += map(_optional, (*mid_a[i:], *mid_b[j:]))
+    out += [_aligned(x, y, p) for x, y in zip(a[len(a) - end :], b[len(b) - end :], strict=True)]
+    out = _adjacent(out, p)
     return out if len(out) <= p.longest_list else _united(_folded(a, p), _folded(b, p), p)
 
 
@@ -277,48 +301,59 @@ def align(a: list | None, b: list, p: WrapperParams) -> list:
     return b if a is None else _aligned(a, b, p)
 
 
-def content_rule(wrapper: list) -> dict:
+def content_rule(wrapper: list, least_pages: int = 3, most: float = 0.7) -> dict:
     """Where a wrapper has its content: a path of signatures, and the checksums of texts that are the same on all pages."""
+    enough = wrapper[2] >= least_pages
+    known: dict[int, int] = {}
 
     def slots(node: list) -> int:
+        """Characters of the texts that are slots, or of all while there are too few pages to tell."""
         if node[1] & BOILER:
             return 0
-        return (node[4] if node[3] == SLOT or wrapper[2] < 3 else 0) + sum(map(slots, node[5]))
+        if id(node) not in known:
+            known[id(node)] = (node[4] if node[3] == SLOT or not enough else 0) + sum(map(slots, node[5]))
+        return known[id(node)]
 
-    def search(node: list, tags: tuple[str, ...], path: list[str]) -> list[str] | None:
+    def search(node: list, tag: str, path: list[str]) -> tuple[list[str], list] | None:
+        """The nearest element of that tag below."""
         found = None
         for child in node[5]:
-            if child[1] & BOILER:
-                continue
-            here = [*path, child[0]]
-            got = here if child[0].split(".")[0] in tags else search(child, tags, here)
-            if got and (found is None or len(got) < len(found)):
-                found = got
+            if not child[1] & BOILER and child[0] != TEXT:
+                here = [*path, child[0]]
+                got = (here, child) if child[0].split(".")[0] == tag else search(child, tag, here)
+                if got and (found is None or len(got[0]) < len(found[0])):
+                    found = got
         return found
 
-    path = search(wrapper, ("article",), []) or search(wrapper, ("main",), [])
+    whole, path, node = slots(wrapper), [], wrapper
+    while whole:
+        best = max((c for c in node[5] if not c[1] & BOILER), key=slots, default=None)
+        if best is None or best[0] == TEXT or best[1] & REPEATED or slots(best) < most * whole:
+            break
+        path.append(best[0])
+        node = best
+    for tag in ("article", "main"):
+        on_path = [k for k, sig in enumerate(path) if sig.split(".")[0] == tag]
+        if on_path:
+            return {"path": path[: on_path[0] + 1], "fixed": []}
+        below = search(node, tag, path) if enough and whole else search(wrapper, tag, [])
+        if below and (not enough or slots(below[1]) >= most * slots(node)):
+            return {"path": below[0], "fixed": []}
     fixed: list[int] = []
-    if not path:
-        path, node = [], wrapper
-        whole = slots(wrapper)
-        while whole:
-            best = max((c for c in node[5] if not c[1] & BOILER), key=slots, default=None)
-            if best is None or best[1] & REPEATED or slots(best) < 0.7 * whole:
-                break
-            path.append(best[0])
-            node = best
-        if whole and wrapper[2] >= 3:
-
-            def gather(n: list) -> None:
-                if n[1] & OPTIONAL:
-                    return
-                if n[3] not in (None, SLOT):
-                    fixed.append(n[3])
-                for c in n[5]:
-                    gather(c)
-
-            # the content itself may be missing on some page
-            gather([node[0], node[1] & ~OPTIONAL, 0, None if node[1] & OPTIONAL else node[3], *node[4:]])
+
+    def gather(n: list) -> None:
+        if not n[1] & OPTIONAL:
+            if n[3] not in (None, SLOT):
+                fixed.append(n[3])
+            for c in n[5]:
+                gather(c)
+
+    if whole and enough:
+        here = [wrapper]
+        for sig in path:  # a page's elements are found by signatures: others of these have their texts left out
+            here = [c for n in here for c in n[5] if c[0] == sig and not c[1] & BOILER]
+        for n in here:  # the content itself may be missing on some page
+            gather([n[0], n[1] & ~OPTIONAL, *n[2:]])
     return {"path": path, "fixed": fixed}
 
 
@@ -341,11 +376,9 @@ def main_text(page: str, rule: dict) -> str:
     fixed = set(rule["fixed"])
 
     def texts(node: Element, out: list[str]) -> list[str]:
-        own = [c for c in node.children if isinstance(c, str)]
-        known = bool(own and fixed) and zlib.crc32("\n".join(own).encode("utf-8", "replace")) + 2 in fixed
         for c in node.children:
             if isinstance(c, str):
-                if not known:
+                if not fixed or mark_of(c) not in fixed:
                     out.append(c)
             elif not c.boiler:
                 texts(c, out)
@@ -408,7 +441,7 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams | None = None) -> Dat
     parts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(build, f"{schema}, mark binary, salt int")
     # copies of a page have one mark, so one salt
     parts = parts.repartition("host", "salt").sortWithinPartitions("host", "mark").select("host", "wrapper", "mark").mapInArrow(merge, schema)
-    whole = parts.repartition("host").sortWithinPartitions("host").mapInArrow(merge, schema)
+    whole = parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(rules, batches)

@@ -1,6 +1,7 @@
 """Top-k search, decontamination, mixing and wrappers against plain versions."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -204,3 +205,59 @@ def test_copies_of_a_page_keep_their_text(spark):
 def test_raw_elements_end_where_they_should(inside, want):
     page = f"<article><p>a</p>{inside}<p>b</p></article><article><p>c</p></article>"
     assert wrappers.main_text(page, wrappers.NO_RULE | {"path": ["article"]}) == want
+
+
+def _plain_pages(n):
+    """Pages of one host whose markup says nothing: divs without names, the frame the same, the text and an optional part their own."""
+    rng = random.Random(n)
+    say = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(k))
+    pages, want = [], []
+    for k in range(n):
+        parts = [say(30) for _ in range(rng.randint(2, 6))]
+        extra = say(25) if k % 2 else ""
+        pages.append(f"<html><body><div><div>Home</div><div>All about us</div></div><div><div>{'</div><div>'.join(parts)}</div>{f'<blockquote>{extra}</blockquote>' if extra else ''}</div><div>Write to the owner</div></body></html>")
+        want.append(" ".join([*parts, *([extra] if extra else [])]))
+    return pages, want
+
+
+def test_the_wrapper_tells_content_where_names_do_not():
+    pages, want = _plain_pages(8)
+    assert _texts(pages) == want
+    without = [wrappers.main_text(x, wrappers.NO_RULE) for x in pages]
+    assert all(a != b and b in a for a, b in zip(without, want, strict=True))
+
+
+def test_slots_outweigh_names():
+    """An article element that is the same on all pages is no content where another element's texts differ."""
+    pages, want = _plain_pages(6)
+    framed = [x.replace("<div>Write to the owner</div>", "<article>Win a prize today</article>") for x in pages]
+    assert _texts(framed) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_alignment_is_a_longest_common_subsequence(seed):
+    """The streams of two pages against all subsequences; and each page fits the expression made of both."""
+    rng = random.Random(seed)
+    p = wrappers.WrapperParams()
+    for _ in range(40):
+        one, two = ([rng.choice("abcd") for _ in range(rng.randint(0, 6))] for _ in "12")
+        a, b = ([[x, 0, 1, None, 0, []] for x in side] for side in (one, two))
+        got = wrappers._merged(a, b, p)
+        common = lambda s, t: max((len(c) for k in range(len(s) + 1) for c in itertools.combinations(s, k) if _inside(c, t)), default=0)
+        together = [n for n in got if not n[1] & (wrappers.OPTIONAL | wrappers.REPEATED)]
+        if not any(n[1] & wrappers.REPEATED for n in got):
+            assert len(together) == common(one, two) and len(got) == len(one) + len(two) - len(together)
+        pattern = "".join("(?:" + n[0] + ")" + ("*" if n[1] & wrappers.REPEATED else "?" if n[1] & wrappers.OPTIONAL else "") for n in got)
+        if not any(n[1] & wrappers.REPEATED for n in got):
+            assert all(re.fullmatch(pattern, "".join(side)) for side in (one, two))
+
+
+def _inside(part, whole):
+    rest = iter(whole)
+    return all(x in rest for x in part)
+
+
+def test_deep_nesting_keeps_comments_out():
+    deep = "<div>" * 400 + "the article <section class='comments'><div>a reader says</div></section> goes on" + "</div>" * 400
+    page = f"<body><article><p>It begins.</p>{deep}<p>It ends.</p></article><footer>foot</footer></body>"
+    assert wrappers.main_text(page, wrappers.NO_RULE | {"path": ["article"]}) == "It begins. the article goes on It ends."
