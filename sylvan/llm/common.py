@@ -128,10 +128,30 @@ def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage.
-    The driver's own unused Arrow memory goes back too."""
+    What the driver's processes have freed but keep goes back too: Arrow's memory, and that of the JVM's C library."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
+    _trim_native_heap(spark)
+
+
+def _trim_native_heap(spark: SparkSession) -> None:
+    """The JVM's own command for it, called by its interface, as the server's class is not open; not every JVM has it."""
+    jvm = spark._jvm
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    methods = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() in ("isRegistered", "getMBeanInfo", "invoke")}
+
+    def call(name: str, *values: object) -> object:
+        args = spark._sc._gateway.new_array(jvm.java.lang.Object, len(values))
+        for k, value in enumerate(values):
+            args[k] = value
+        return methods[name].invoke(server, args)
+
+    if call("isRegistered", commands):
+        for operation in call("getMBeanInfo", commands).getOperations():
+            if operation.getName() == "systemTrimNativeHeap":
+                call("invoke", commands, "systemTrimNativeHeap", None, None)
 
 
 def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Array]], added: str) -> DataFrame:
