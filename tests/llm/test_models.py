@@ -183,3 +183,43 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 for r in quality.score_quality(odd, model).collect())
     none = quality.fit(docs, labels.limit(0), F.lit(True), quality.CoTrainParams(pool=10))
     assert [r.score for r in quality.score_quality(odd, none).collect()] == [0.5, 0.5]
+
+
+def test_quality_exchange(spark):
+    """One exchange over copies and ties in several tasks is what sorting all different documents gives."""
+    p = quality.CoTrainParams(exchanged=7, sure=0.6)
+    docs = spark.createDataFrame([(i, f"word{i % 23} {'x' * (i % 5)}", f"s{i % 3}", "en", i % 11) for i in range(120)], "doc_id long, text string, source string, lang string, n_chars long")
+    features = quality.featurize(docs).repartition(5).cache()
+    rng = np.random.default_rng(0)
+    model = quality.CoTrained(p, np.zeros(len(quality.MEASURES)), np.ones(len(quality.MEASURES)))
+    model.share, model.curves = 0.3, [(1.0, 0.0), (1.0, 0.1)]
+    for m in model.models.values():
+        m.w = rng.normal(size=len(m.w))
+    rows = features.orderBy("doc_id").toArrow()
+    odds = model.log_odds(model.rows([rows.column(c).to_pylist() for c in ("words", "shares", "measured", "page")]))
+    hashes = rows.column("h").to_pylist()
+    used = {("page", hashes[int(np.argmax(odds[0]))])}
+    want = set()
+    for mine, other in ((0, "page"), (1, "content")):
+        for y, most in ((1, 2), (0, 5)):
+            sure = {h: s for h, s in zip(hashes, odds[mine] if y else -odds[mine], strict=True) if s >= np.log(0.6 / 0.4) and (other, h) not in used}
+            want |= {(other, y, h) for h, _ in sorted(sure.items(), key=lambda x: (-x[1], x[0]))[:most]}
+    got = quality.exchange(features, model, used).collect()
+    assert {(r.taught, r.y, r.h) for r in got} == want and len(got) == len(want) > 4
+
+
+def test_quality_views():
+    """Logits of whole tables are those of the rows; the page view does not read the text."""
+    p = quality.CoTrainParams()
+    rng = np.random.default_rng(2)
+    model = quality.CoTrained(p, np.zeros(len(quality.MEASURES)), np.ones(len(quality.MEASURES)))
+    columns = [[], [], [], []]
+    for text in ("", "a b a\nc", "x"):
+        c, v = quality.text_features(text, {})
+        for column, value in zip(columns, (c.astype(np.uint16).tobytes(), v.astype(np.float16).tobytes(), quality.measures(text).tolist(), np.array(quality.page_buckets("s", None, 5), np.uint16).tobytes()), strict=True):
+            column.append(value)
+    rows = model.rows(columns)
+    for view, m in model.models.items():
+        m.w, m.b = rng.normal(size=len(m.w)), 0.25
+        assert np.allclose(rows.logits(view, m), m.logits([rows.row(view, i) for i in range(3)]))
+    assert len(set(rows.logits("page", model.models["page"]))) == 1
