@@ -223,3 +223,18 @@ def test_quality_views():
         m.w, m.b = rng.normal(size=len(m.w)), 0.25
         assert np.allclose(rows.logits(view, m), m.logits([rows.row(view, i) for i in range(3)]))
     assert len(set(rows.logits("page", model.models["page"]))) == 1
+
+
+def test_quality_edges(spark):
+    """Empty tables, null and repeated ids, odd and long texts, null metadata, and columns with the operator's own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h int, y int, taught string, score string"
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1), (9, 1)], "doc_id long, quality int")
+    rows = [(1, "a b", "en", "s", 3, 0, 0, "x", "x"), (2, None, None, None, None, 0, 0, None, None), (2, "c " * 40_000, "de", "t", -1, 1, 1, "", ""), (None, "", "", "", 0, 0, 0, "", ""), (3, "퟿ \U0001f600 1|!", "en", "s", 9, 0, 0, "", "")] * 2
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    model = quality.fit(docs, labels, F.lit(True))
+    assert model.constant is None
+    got = quality.score_quality(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert quality.score_quality(none, model).count() == 0
+    empty = quality.fit(none, labels, F.lit(True))
+    assert {r.score for r in quality.score_quality(docs, empty).collect()} == {0.5}
