@@ -2,12 +2,15 @@
 
 A step takes context rows (with doc_id and node_id) and gives the nodes reached,
 each once for each context, as columns ctx_id and the node's own. Every join has
-an equality on doc_id, so that only nodes of one document meet; descendants and
-ancestors are ranges of node_id within it.
+an equality on doc_id, so that only nodes of one document meet. Descendants and
+ancestors are ranges of node_id within it, joined by equality on blocks of ids, so
+that a large document is not one task's work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,32 +26,66 @@ def node_test(name: str = "*", kind: str = "element", ns: str | None = None) ->
     return test & (F.col("ns") == ns) if ns is not None else test
 
 
-def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None) -> DataFrame:
-    """One step from the context rows; ``test`` is a condition on node rows."""
+#: A block of rank k holds 16^k ids; ids of 32 bits need no more ranks.
+RANKS = 7
+
+
+def _blocks_of_range(low: Column, end: Column) -> Column:
+    """The fewest blocks that make up the ids from low to before end: at each rank those that no block of the next rank holds."""
+    first = [F.ceil(low / 16**k).cast("long") for k in range(RANKS)]
+    after = [F.floor(end / 16**k).cast("long") for k in range(RANKS)]
+
+    def span(k: int, a: Column, b: Column) -> Column:
+        none = F.array().cast("array<struct<rank:int,block:bigint>>")
+        return F.when(a < b, F.transform(F.sequence(a, b - 1), lambda i: F.struct(F.lit(k).alias("rank"), i.alias("block")))).otherwise(none)
+
+    parts = []
+    for k in range(RANKS - 1):
+        wider = first[k + 1] < after[k + 1]
+        parts += [span(k, first[k], F.when(wider, first[k + 1] * 16).otherwise(after[k])), span(k, F.when(wider, after[k + 1] * 16).otherwise(after[k]), after[k])]
+    return F.concat(*parts, span(RANKS - 1, first[-1], after[-1]))
+
+
+def _blocks_of_id(at: Column) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("rank"), F.shiftright(at, 4 * k).cast("long").alias("block")) for k in range(RANKS)))
+
+
+def _within(nodes: DataFrame, of_nodes: Column, context: DataFrame, of_context: Column) -> DataFrame:
+    """Pairs of a node and a context of one document of which one is an id in the range of the other. Each pair is
+    found once, as the blocks of a range are disjoint."""
+    n = nodes.withColumn("_n", F.explode(of_nodes))
+    c = context.withColumn("_c", F.explode(of_context))
+    return c.join(n, (F.col("doc_id") == F.col("c_doc")) & (F.col("_n.rank") == F.col("_c.rank")) & (F.col("_n.block") == F.col("_c.block")))
+
+
+def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One step from the context rows; ``test`` is a condition on node rows, ``carry`` names context columns to keep."""
+    if axis in ("attribute", "namespace"):
+        held = "attrs" if axis == "attribute" else "ns_in_scope"
+        return context.where("kind = 'element'").select(*carry, "doc_id", F.col("node_id").alias("ctx_id"), F.explode(held).alias("local", "value"))
     if test is not None:
         nodes = nodes.where(test)
-    c = context.select(F.col("doc_id").alias("c_doc"), F.col("node_id").alias("ctx_id"), F.col("parent_id").alias("c_parent"), (F.col("node_id") + F.col("size")).alias("c_end"))
-    at, end, me = F.col("node_id"), F.col("node_id") + F.col("size"), F.col("ctx_id")
-    on = {
-        "self": at == me,
-        "child": F.col("parent_id") == me,
-        "parent": at == F.col("c_parent"),
-        "descendant": (at > me) & (at <= F.col("c_end")),
-        "descendant-or-self": (at >= me) & (at <= F.col("c_end")),
-        "ancestor": (at < me) & (end >= me),
-        "ancestor-or-self": (at <= me) & (end >= me),
-        "following-sibling": (F.col("parent_id") == F.col("c_parent")) & (at > me),
-        "preceding-sibling": (F.col("parent_id") == F.col("c_parent")) & (at < me),
-        "following": at > F.col("c_end"),
-        "preceding": (end < me),
-    }
-    if axis == "attribute":
-        return context.where("kind = 'element'").select("doc_id", F.col("node_id").alias("ctx_id"), F.explode("attrs").alias("local", "value"))
-    if axis == "namespace":
-        return context.where("kind = 'element'").select("doc_id", F.col("node_id").alias("ctx_id"), F.explode("ns_in_scope").alias("local", "value"))
-    if axis not in on:
-        raise ValueError(f"XPST0003: no axis {axis}")
-    return c.join(nodes, (F.col("doc_id") == F.col("c_doc")) & on[axis]).select("ctx_id", *NODE)
+    c = context.select(*carry, F.col("doc_id").alias("c_doc"), F.col("node_id").alias("ctx_id"), F.col("parent_id").alias("c_parent"), (F.col("node_id") + F.col("size")).alias("c_end"))
+    at, end, me, c_end = F.col("node_id"), F.col("node_id") + F.col("size"), F.col("ctx_id"), F.col("c_end")
+    own = 0 if axis.endswith("-or-self") else 1
+    if axis in ("descendant", "descendant-or-self"):
+        found = _within(nodes, _blocks_of_id(at), c, _blocks_of_range(me + own, c_end + 1))
+    elif axis in ("ancestor", "ancestor-or-self"):
+        found = _within(nodes, _blocks_of_range(at + own, end + 1), c, _blocks_of_id(me))
+    else:
+        on = {
+            "self": at == me,
+            "child": F.col("parent_id") == me,
+            "parent": at == F.col("c_parent"),
+            "following-sibling": (F.col("parent_id") == F.col("c_parent")) & (at > me),
+            "preceding-sibling": (F.col("parent_id") == F.col("c_parent")) & (at < me),
+            "following": at > c_end,
+            "preceding": end < me,
+        }
+        if axis not in on:
+            raise ValueError(f"XPST0003: no axis {axis}")
+        found = c.join(nodes, (F.col("doc_id") == F.col("c_doc")) & on[axis])
+    return found.select(*carry, "ctx_id", *NODE)
 
 
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
@@ -113,10 +150,10 @@ def paths(nodes: DataFrame) -> DataFrame:
     named = nodes.where("kind = 'element'")
     among = Window.partitionBy("doc_id", "parent_id", "ns", "local").orderBy("node_id")
     label = F.concat(F.when(F.col("ns") != "", F.concat(F.lit("Q{"), "ns", F.lit("}"))).otherwise(""), "local", F.lit("["), F.row_number().over(among), F.lit("]"))
-    steps = named.withColumn("label", label).select("doc_id", "node_id", "size", "level", "label", "parent_id", "kind", "ns", "local", "prefix", "value", "attrs", "ns_in_scope")
-    up = steps.select(F.col("doc_id").alias("u_doc"), F.col("node_id").alias("u_id"), F.col("size").alias("u_size"), F.col("label").alias("u_label"))
-    pairs = steps.select("doc_id", "node_id").join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("u_id") <= F.col("node_id")) & (F.col("u_id") + F.col("u_size") >= F.col("node_id")))
-    return pairs.groupBy("doc_id", "node_id").agg(F.concat(F.lit("/"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u_id", "u_label"))), lambda x: x["u_label"]), "/")).alias("path"))
+    labels = named.select("doc_id", F.col("node_id").alias("u_id"), label.alias("u_label"))
+    up = step(named, named, "ancestor-or-self").select("doc_id", "ctx_id", F.col("node_id").alias("u_id"))
+    parts = F.array_sort(F.collect_list(F.struct("u_id", "u_label")))
+    return up.join(labels, ["doc_id", "u_id"]).groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["u_label"]), "/")).alias("path"))
 
 
 def lang(nodes: DataFrame, wanted: str) -> DataFrame:

@@ -94,3 +94,12 @@ def test_files_are_guarded(spark, tmp_path):
     for bad in (str(tmp_path / "out.txt"), str(tmp_path / "in" / "link.txt"), "http://example.com/x"):
         with pytest.raises(PathRefused):
             files.collection(bad)
+
+
+def test_blocks_of_a_range_hold_each_id_once(spark):
+    ranges = [(0, 1), (1, 1), (3, 40), (15, 17), (16, 4096), (255, 70_001), (1, 3_000_000), (2**30, 2**31 - 1)]
+    rows = spark.createDataFrame(ranges, "low int, end int").select("low", "end", axes._blocks_of_range(F.col("low"), F.col("end")).alias("blocks")).collect()
+    for r in rows:
+        spans = sorted((b.block << 4 * b.rank, (b.block + 1) << 4 * b.rank) for b in r.blocks)
+        assert sum(b - a for a, b in spans) == r.end - r.low and len(spans) <= 30 * axes.RANKS
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and (not spans or (spans[0][0], spans[-1][1]) == (r.low, r.end))
