@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sylvan.catalog_functions import FUNCTIONS
 from sylvan.operators import axes, grouping, joins, ordering, rules, validation
 from sylvan.plans.query import Query, compile_row
+from sylvan.plans.tree import Tree
 from sylvan.sources import nodes as trees
 from sylvan.streaming import records
 
@@ -508,6 +509,32 @@ for _name, _n in {"self": "1", "child": "2", "descendant": "2", "descendant-or-s
     _axis(_name, _n)
 
 
+_ORDERS = f"SELECT *, 5 * r - 3 AS node_id FROM (SELECT o_custkey::VARCHAR AS doc_id, o_orderkey, o_orderkey::VARCHAR AS id, o_orderstatus AS status, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+
+
+def _tree_path(name: str, path: str, sql: str) -> None:
+    """An expression over the order trees; ``sql`` says the same of the rows that they were made of."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Tree(_order_trees(spark, sf_dir)).run(path)
+
+    query(name, sql.replace("ORDERS", f"({_ORDERS})"))(run)
+
+
+_ID = "SELECT doc_id, node_id, 'id' AS name, id AS text FROM ORDERS"
+_tree_path("tree_expr_compare", "//order[status = 'F']/priority", "SELECT doc_id, node_id + 3 AS node_id, 'priority' AS name, priority AS text FROM ORDERS WHERE status = 'F'")
+_tree_path("tree_expr_not", "//order[not(status = 'F') and @id > 1000]/@id", f"{_ID} WHERE status <> 'F' AND o_orderkey > 1000")
+_tree_path("tree_expr_or", "//order[status = ('O', 'P') or starts-with(priority, '1')]/@id", f"{_ID} WHERE status IN ('O', 'P') OR priority LIKE '1%'")
+_tree_path("tree_expr_last", "/orders/order[last()]/@id", f"{_ID} WHERE r = n")
+_tree_path("tree_expr_position", "/orders/order[position() mod 3 = 0]/@id", f"{_ID} WHERE r % 3 = 0")
+_tree_path("tree_expr_siblings", "//order[status = 'O']/following-sibling::order[1]/@id", f"{_ID} QUALIFY lag(status) OVER (PARTITION BY doc_id ORDER BY r) = 'O'")
+_tree_path("tree_expr_up", "//status[. = 'P']/ancestor::orders/order[1]/@id", f"{_ID} WHERE r = 1 AND doc_id IN (SELECT doc_id FROM ORDERS WHERE status = 'P')")
+_tree_path("tree_expr_filtered", "(//order[status = 'F'])[2]/@id", f"{_ID} WHERE status = 'F' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) = 2")
+_tree_path("tree_expr_except", "//order except //order[@id = 7 or priority = '5-LOW']", "SELECT doc_id, node_id, 'order' AS name, status || priority AS text FROM ORDERS WHERE o_orderkey <> 7 AND priority <> '5-LOW'")
+_tree_path("tree_expr_count", "count(//order[starts-with(priority, '1')]) * 10 + count(//order)", "SELECT doc_id, 10 * count(*) FILTER (WHERE priority LIKE '1%') + count(*) AS value FROM ORDERS GROUP BY 1")
+_tree_path("tree_expr_join", "string-join(//order[status = 'P']/@id, ',')", "SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY r) FILTER (WHERE status = 'P'), '') AS value FROM ORDERS GROUP BY 1")
+
+
 @query("tree_pattern", "SELECT o_custkey::VARCHAR AS doc_id, count(*) AS n FROM orders GROUP BY 1")
 def tree_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements that match the pattern orders/order/status."""
