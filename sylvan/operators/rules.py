@@ -55,14 +55,15 @@ class Mode:
         return out
 
     def apply(self, df: DataFrame, name: str = "result") -> DataFrame:
-        """apply-templates: skipped rows are left out."""
-        out = df.withColumn(name, self.dispatch())
-        return out.where(F.col(name).isNotNull()) if self.policy.endswith("skip") else out
+        """apply-templates: rows that no rule matches are left out where they are skipped; a rule may make null."""
+        if self.policy.endswith("skip"):
+            df = df.where(reduce(lambda a, b: a | b, (F.coalesce(r.match, F.lit(False)) for r in self.rules), F.lit(False)))
+        return df.withColumn(name, self.dispatch())
 
     def next_match(self, depth: int = 2) -> Column:
         """What the best ``depth`` matching rules make, best first: rules that call next-match."""
-        made = F.filter(F.array(*(F.when(r.match, r.make) for r in self.rules)), lambda x: x.isNotNull())
-        return F.slice(made, 1, depth)
+        made = F.filter(F.array(*(F.when(r.match, F.struct(r.make.alias("made"))) for r in self.rules)), lambda x: x.isNotNull())
+        return F.transform(F.slice(made, 1, depth), lambda x: x["made"])
 
 
 def apply_recursively(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Column, most: int) -> DataFrame:
@@ -72,9 +73,12 @@ def apply_recursively(df: DataFrame, step: Callable[[DataFrame], DataFrame], don
     return df.withColumn("_done", F.when(done, True).otherwise(F.raise_error(F.lit("XTDE0640: recursion too deep")).cast("boolean"))).where("_done").drop("_done")
 
 
-def try_catch(body: Column, fallback: Column) -> Column:
-    """try/catch in a row: ``body`` is built of try_ functions, which are null on error."""
-    return F.coalesce(body, fallback)
+def try_catch(body: Column, fallback: Column, *reads: Column) -> Column:
+    """try/catch in a row: ``body`` is built of try_ functions, which are null on error. Where one of the columns that it
+    ``reads`` is null, an empty result is a success and stays empty; without ``reads`` every empty result is an error."""
+    if not reads:
+        return F.coalesce(body, fallback)
+    return F.when(body.isNull() & reduce(lambda a, b: a & b, (c.isNotNull() for c in reads)), fallback).otherwise(body)
 
 
 def attempt(run: Callable[[], DataFrame], handlers: dict[str, Callable[[Exception], DataFrame]]) -> DataFrame:

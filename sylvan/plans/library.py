@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvan.functions import collections as C
 from sylvan.functions import datetimes as D
@@ -335,23 +336,30 @@ _add("fn:parse-ietf-date", 1, "P", lambda s: Val(D.parse_ietf_date(_s(s)), "date
 
 
 # nodes: a row of a node table (sources.nodes) is a struct with these fields
+def _part(v: Val, name: str) -> Column:
+    """A field of a node, or of the context row where that is a row of a node table."""
+    if v.kind not in ("row", "node", "QName", "any") or isinstance(v.dtype, T.StructType) and name not in v.dtype.names:
+        raise PathTypeError(f"XPTY0004: a node is wanted, not {v.kind}")
+    return F.col(f"`{v.const}{name}`") if v.kind == "row" else v.col[name]
+
+
 def _field(name: str, kind: str = "string") -> Callable[..., Val]:
-    return lambda v: Val(v.col[name], kind)
+    return lambda v: Val(_part(v, name), kind)
 
 
 _add("fn:base-uri", 1, "A", _field("doc_id"))
 _add("fn:document-uri", 1, "A", _field("doc_id"))
-_add("fn:generate-id", 1, "A", lambda v: Val(F.concat(F.lit("id"), v.col["doc_id"].cast("string"), F.lit("_"), v.col["node_id"].cast("string")), "string"))
-_add("fn:has-children", 1, "A", lambda v: Val(v.col["size"] > 0, "boolean"))
+_add("fn:generate-id", 1, "A", lambda v: Val(F.concat(F.lit("id"), _part(v, "doc_id").cast("string"), F.lit("_"), _part(v, "node_id").cast("string")), "string"))
+_add("fn:has-children", 1, "A", lambda v: Val(_part(v, "size") > 0, "boolean"))
 _add("fn:local-name", 1, "C", _field("local"))
-_add("fn:name", 1, "A", lambda v: Val(F.concat_ws(":", v.col["prefix"], v.col["local"]), "string"))
+_add("fn:name", 1, "A", lambda v: Val(F.concat_ws(":", F.nullif(_part(v, "prefix"), F.lit("")), _part(v, "local")), "string"))
 _add("fn:namespace-uri", 1, "C", _field("ns"))
-_add("fn:node-name", 1, "A", lambda v: Val(F.struct(v.col["ns"].alias("uri"), v.col["local"].alias("local"), v.col["prefix"].alias("prefix")), "QName"))
-_add("fn:nilled", 1, "C", lambda v: Val(F.coalesce(F.try_element_at(v.col["attrs"], F.lit("xsi:nil")) == "true", F.lit(False)), "boolean"))
-_add("fn:in-scope-prefixes", 1, "A", lambda v: Val(F.map_keys(v.col["ns_in_scope"]), "string", True))
-_add("fn:namespace-uri-for-prefix", 2, "A", lambda p, v: Val(F.try_element_at(v.col["ns_in_scope"], F.coalesce(p.col, F.lit(""))), "string"))
+_add("fn:node-name", 1, "A", lambda v: Val(F.struct(_part(v, "ns").alias("uri"), _part(v, "local").alias("local"), _part(v, "prefix").alias("prefix")), "QName"))
+_add("fn:nilled", 1, "C", lambda v: Val(F.coalesce(F.try_element_at(_part(v, "attrs"), F.lit("xsi:nil")) == "true", F.lit(False)), "boolean"))
+_add("fn:in-scope-prefixes", 1, "A", lambda v: Val(F.map_keys(_part(v, "ns_in_scope")), "string", True))
+_add("fn:namespace-uri-for-prefix", 2, "A", lambda p, v: Val(F.try_element_at(_part(v, "ns_in_scope"), F.coalesce(p.col, F.lit(""))), "string"))
 _add("fn:QName", 2, "A", lambda u, n: Val(F.struct(u.col.alias("uri"), F.element_at(F.split(n.col, ":"), -1).alias("local"), F.when(F.contains(n.col, F.lit(":")), F.substring_index(n.col, ":", 1)).otherwise("").alias("prefix")), "QName"))
-_add("fn:resolve-QName", 2, "A", lambda n, v: Val(F.struct(F.try_element_at(v.col["ns_in_scope"], F.when(F.contains(n.col, F.lit(":")), F.substring_index(n.col, ":", 1)).otherwise("")).alias("uri"), F.element_at(F.split(n.col, ":"), -1).alias("local"), F.when(F.contains(n.col, F.lit(":")), F.substring_index(n.col, ":", 1)).otherwise("").alias("prefix")), "QName"))
+_add("fn:resolve-QName", 2, "A", lambda n, v: Val(F.struct(F.try_element_at(_part(v, "ns_in_scope"), F.when(F.contains(n.col, F.lit(":")), F.substring_index(n.col, ":", 1)).otherwise("")).alias("uri"), F.element_at(F.split(n.col, ":"), -1).alias("local"), F.when(F.contains(n.col, F.lit(":")), F.substring_index(n.col, ":", 1)).otherwise("").alias("prefix")), "QName"))
 _add("fn:local-name-from-QName", 1, "C", _field("local"))
 _add("fn:namespace-uri-from-QName", 1, "C", _field("uri"))
 _add("fn:prefix-from-QName", 1, "C", _field("prefix"))

@@ -131,6 +131,12 @@ def test_rules(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, k string")
     low, high = rules.Rule(F.col("k") != "c", F.lit("low"), 0), rules.Rule(F.col("k") == "a", F.lit("high"), 1)
     assert sorted((r.id, r.result) for r in rules.Mode(low, high).apply(df).collect()) == [(1, "high"), (2, "low")]
+    empty = rules.Rule(F.col("k") == "a", F.lit(None).cast("string"), 1)
+    assert sorted((r.id, r.result) for r in rules.Mode(low, empty).apply(df).collect()) == [(1, None), (2, "low")]
+    assert [r.x for r in df.select(rules.Mode(low, empty).next_match().alias("x")).collect()] == [[None, "low"], ["low"], []]
+    texts = df.sparkSession.createDataFrame([("1",), ("x",), (None,)], "s string")
+    caught = [rules.try_catch(F.col("s").try_cast("int"), F.lit(-1), *reads).alias(name) for name, reads in (("a", ()), ("b", (F.col("s"),)))]
+    assert [tuple(r) for r in texts.select(*caught).collect()] == [(1, 1), (-1, -1), (-1, None)]
     kept = rules.Mode(low, on_no_match="shallow-copy", default=F.col("k")).apply(df)
     assert {r.id: r.result for r in kept.collect()}[3] == "c"
     with pytest.raises(Exception, match="XTDE0555"):

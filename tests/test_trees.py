@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan.operators import axes, validation
+from sylvan.plans.query import compile_row
+from sylvan.plans.values import PathTypeError
 from sylvan.sources import nodes as trees
 from sylvan.sources.files import Files, PathRefused
 
@@ -103,3 +105,12 @@ def test_blocks_of_a_range_hold_each_id_once(spark):
         spans = sorted((b.block << 4 * b.rank, (b.block + 1) << 4 * b.rank) for b in r.blocks)
         assert sum(b - a for a, b in spans) == r.end - r.low and len(spans) <= 30 * axes.RANKS
         assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and (not spans or (spans[0][0], spans[-1][1]) == (r.low, r.end))
+
+
+def test_functions_of_the_context_row(nodes):
+    calls = ["name(.)", "local-name(.)", "generate-id(.)", "nilled(.)", "in-scope-prefixes(.)", "has-children(.)", "namespace-uri(.)"]
+    rows = nodes.where("doc_id = 'd2' and local = 'b'").select(*(compile_row(c, nodes.schema).alias(f"x{k}") for k, c in enumerate(calls))).collect()
+    assert [(*r[:4], sorted(r[4]), *r[5:]) for r in rows] == [("p:b", "b", "idd2_2", False, ["p", "xml"], True, "urn:p")]
+    assert [r.n for r in nodes.where("local = 'a' and doc_id = 'd1'").select(compile_row("name(.)", nodes.schema).alias("n")).collect()] == ["a"]
+    with pytest.raises(PathTypeError):
+        compile_row("name(.)", nodes.select("doc_id").schema)
