@@ -9,7 +9,8 @@ A document is a context of its own: absolute paths stay in it, and an expression
 that is no path has one value a document. Node sets hold each node once. Values of
 nodes are untyped: compared with a number as numbers (a text that is none is NaN),
 else as texts; in arithmetic numbers. A function of one item raises XPTY0004 for
-two. An attribute has the node_id of its element; it has a parent, ancestors and
+two. Each step reads the node table, so give one that is written, not one that would be
+parsed again. An attribute has the node_id of its element; it has a parent, ancestors and
 itself, and nothing on other axes. Variables cannot be bound to nodes here.
 """
 
@@ -53,13 +54,14 @@ class Tree:
         self.table = nodes.select(*axes.NODE)
         self.nodes = self.table.withColumn("attr", F.lit(""))
         self.namespaces, self.rows, self.made = dict(namespaces or {}), RowCompiler(), 0
+        self.documents = self.nodes.where("kind = 'document'")
 
     def run(self, text: str) -> DataFrame:
         """A path: doc_id, node_id, name and text of its nodes; another expression: doc_id and value, one a document."""
         n = parse(text)
         if _is_path(n):
             return self._valued(self.select(text), n).select("doc_id", "node_id", F.when(F.col("kind") == "attribute", F.col("attr")).otherwise(F.col("local")).alias("name"), "text")
-        place = _Place(self._documents())
+        place = _Place(self.documents)
         v = self._built(place, self._attached(place, n))
         return place.df.select("doc_id", v.col.alias("value"))
 
@@ -68,10 +70,7 @@ class Tree:
         n = parse(text)
         if not _is_path(n):
             raise PathTypeError(f"a path is wanted, not {n.kind}")
-        return self._path(self._documents(), n, [])
-
-    def _documents(self) -> DataFrame:
-        return self.nodes.where("kind = 'document'")
+        return self._path(self.documents, n, [])
 
     def _name(self, stem: str) -> str:
         self.made += 1
@@ -98,7 +97,9 @@ class Tree:
         if n.kind == "context":
             return rows
         if n.kind == "root":
-            return rows.select(*carry, "doc_id").distinct().join(self._documents(), "doc_id").select(*carry, *COLUMNS)
+            if rows is self.documents:
+                return rows
+            return rows.select(*carry, "doc_id").distinct().join(self.documents, "doc_id").select(*carry, *COLUMNS)
         if n.kind == "step":
             return self._once(self._reached(rows, n, carry, attributes), n.name, carry)
         if n.kind != "filter":
@@ -344,7 +345,7 @@ def _compares_path(n: Node) -> bool:
 
 def _boolean(n: Node) -> Node:
     """A side of ``and``: a number there is not a position."""
-    return n if _is_path(n) or n.kind in ("general", "logic", "paren") else Node("call", "boolean", (n,))
+    return n if _is_path(n) or n.kind in ("general", "logic", "paren") or _named(n) in ("not", "exists", "empty", "boolean") else Node("call", "boolean", (n,))
 
 
 def _named(n: Node) -> str:
