@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,14 +117,19 @@ def words_of(text: bytes) -> list[bytes]:
 BITMAP_WORDS = 1 << 16
 
 
-def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key``, a long, is in ``wanted``: few others are shuffled with their texts, as they must
-    first pass a bitmap of the wanted keys' hashes, broadcast at BITMAP_WORDS rows at most."""
+def maybe_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a long, is in ``wanted``, and few others: what passes a bitmap of the wanted keys' hashes,
+    broadcast at BITMAP_WORDS rows at most."""
     h = F.xxhash64(key, F.lit(3))
     slot = F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     bitmap = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
-    some = rows.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
+    return rows.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
+
+
+def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a long, is in ``wanted``: few others are shuffled with their texts."""
+    some = maybe_wanted(rows, wanted, key)
     # an inner join: Spark would move a semi join below the bitmap's
     return some.join(wanted.select(key).distinct(), key)
 
@@ -154,6 +162,32 @@ def _trim_native_heap(spark: SparkSession) -> None:
                 call("invoke", commands, "systemTrimNativeHeap", None, None)
 
 
+def free_executors(spark: SparkSession) -> None:
+    """Let the executors' JVMs give back the heap that they grew to and need no more: a full collection shrinks it. Python's workers
+    share the executor's memory with it."""
+    n = max(2 * spark.sparkContext.defaultParallelism, 2)
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc")).alias("x")).agg(F.count("x")).collect()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker gives back what it held: it may stand idle beside others."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        trim()
+
+    return trimmed
+
+
+def trim() -> None:
+    """What a Python worker has freed but keeps goes back."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if free:
+        free(0)
+
+
 def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Array]], added: str) -> DataFrame:
     """``df`` with the columns of the schema ``added``, which ``fn`` makes batch by batch of the columns ``reads``."""
     at = [df.columns.index(c) for c in reads]
@@ -165,7 +199,7 @@ def append_columns(df: DataFrame, reads: list[str], fn: Callable[..., list[pa.Ar
             made = fn(*(batch.column(k) for k in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -220,3 +254,48 @@ def fit_in_task(sample: DataFrame, order: list[str], fit: Callable[[pa.Table], o
 
         model = fit(to_arrow_schema(types).empty_table())
     return model
+
+
+#: Rows of arrays that tasks make and that are added up: values in float32, in slices, of which those of zeros alone are left out.
+PIECES = "kind string, slice long, unit long, data binary"
+SLICE = 1 << 15
+
+
+def pieces(kind: str, unit: int, values: np.ndarray) -> pa.RecordBatch:
+    flat = np.ascontiguousarray(values, np.float32).ravel()
+    found = [(k, flat[at : at + SLICE]) for k, at in enumerate(range(0, len(flat), SLICE))]
+    found = [(k, zlib.compress(part.tobytes(), 1)) for k, part in found if part.any()]
+    columns = [pa.array([kind] * len(found), pa.string()), pa.array([k for k, _ in found], pa.int64()), pa.array([unit] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "slice", "unit", "data"])
+
+
+def add_up(rows: DataFrame) -> dict[str, dict[int, np.ndarray]]:
+    """The sums of ``pieces`` by kind and slice, made in tasks in the order of the units: the driver gets one array of each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.empty(0)
+        for batch in batches:
+            for kind, part, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "slice", "data")), strict=True):
+                if at != (kind, part):
+                    if at:
+                        yield made(at, total)
+                    at, total = (kind, part), np.zeros(1)
+                total = total + np.frombuffer(zlib.decompress(data), np.float32)
+        if at:
+            yield made(at, total)
+
+    def made(at: tuple[str, int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["kind", "slice", "data"])
+
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for r in rows.repartition("kind", "slice").sortWithinPartitions("kind", "slice", "unit").mapInArrow(lean(run), "kind string, slice long, data binary").collect():
+        out.setdefault(r.kind, {})[r.slice] = np.frombuffer(bytes(r.data))
+    return out
+
+
+def whole(found: dict[int, np.ndarray] | None, size: int) -> np.ndarray:
+    """An array of ``add_up``, of this size, from its slices."""
+    out = np.zeros(size)
+    for k, part in (found or {}).items():
+        out[k * SLICE : k * SLICE + len(part)] = part
+    return out

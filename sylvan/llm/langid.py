@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +92,25 @@ def gram_buckets(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+#: Length of what text_counts gives.
+COUNTS = BUCKETS + len(_NAMES)
+
+
+def text_counts(texts: Iterable[str], longest: int, block: int = 4000) -> np.ndarray:
+    """How often n-grams and then scripts occur: what LanguageModel.learn adds for these texts, each different word cut up once."""
+    found: Counter[str] = Counter()
+    for text in texts:
+        found.update(LETTERS.findall(text.lower()))
+    out, words = np.zeros(COUNTS), list(found)
+    for at in range(0, len(words), block):
+        part = words[at : at + block]
+        times = np.fromiter(map(found.__getitem__, part), np.float64, len(part))
+        buckets, owners = gram_buckets(part, longest)
+        out[:BUCKETS] += np.bincount(buckets, times[owners], minlength=BUCKETS)
+        out[BUCKETS:] += np.bincount([script_of(w) for w in part], times, minlength=len(_NAMES))
+    return out
+
+
 class LanguageModel:
     def __init__(self, p: LangParams, languages: list[str]):
         self.p, self.languages = p, languages
@@ -104,6 +125,14 @@ class LanguageModel:
             self.counts[:, k] += np.bincount(buckets, minlength=BUCKETS)
             self.scripts[:, k] += np.bincount([script_of(w) for w in words], minlength=len(_NAMES))
 
+    @classmethod
+    def of_counts(cls, p: LangParams, counts: dict[str, np.ndarray]) -> LanguageModel:
+        """From the sums of ``text_counts`` of each language."""
+        model = cls(p, sorted(counts))
+        for k, name in enumerate(model.languages):
+            model.counts[:, k], model.scripts[:, k] = counts[name][:BUCKETS], counts[name][BUCKETS:]
+        return model.finish()
+
     def finish(self) -> LanguageModel:
         if not self.languages:
             return self

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan.llm import langid, lattice, quality, toxicity
-from sylvan.llm.common import fold_of
+from sylvan.llm.common import add_up, fold_of, whole
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,6 +113,65 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, bare).agg(F.max("tox_score")).first()[0] == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Each text is a word of its own: those that training has seen score above others, and but for the held-back quarter these are all."""
+    rng = random.Random(8)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2)) for _ in range(4100)]
+    docs = spark.createDataFrame([(i, w, "zh") for i, w in enumerate(words)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 1800)) for i in range(3600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = {r.doc_id: r.tox_score for r in toxicity.score_toxicity(docs, model).collect()}
+    unknown = np.quantile([got[i] for i in range(3600, 4100)], 0.95)
+    assert sum(got[i] > unknown for i in range(1800)) > 1250
+
+
+def test_toxicity_units_and_repeats(spark):
+    """Equal rows count once; the units hold every labelled row, however many they are; numbers are those of the texts."""
+    rows = [(i, f"{'bad' if i % 3 == 0 else 'good'} w{i} end", "en" if i % 2 else None) for i in range(200)]
+    docs = spark.createDataFrame([*rows, *rows[:50], (7, None, "de"), (900, "unlabelled", "en")], "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, y int")
+    one = docs.join(marks, "doc_id").selectExpr("pmod(doc_id, 3) as shard", "xxhash64(doc_id, text) as h", "y", "lang", "coalesce(text, '') as text").repartition(2, "shard").sortWithinPartitions("shard", "h", "lang")
+    for most in (16_000_000, 100):
+        units = toxicity._code(one, toxicity.CnnParams(unit_bytes=most), ["en"], True).cache()
+        found = add_up(units.where("kind not in ('learn', 'judge')"))
+        made = [(r.kind, r.unit, pickle.loads(bytes(r.data))) for r in units.where("kind in ('learn', 'judge')").collect()]
+        assert (len({n for _, n, _ in made}) == 3) == (most > 100)
+        held = sum(len(u.kept) for kind, _, u in made if kind == "judge")
+        assert 20 < held < 100 and sum(len(u.labels) for _, _, u in made) == 201
+        numbers = whole(found["rows"], 4)
+        assert numbers.tolist()[:3] == [201, 67, held]
+        bad, size = int(toxicity.features([b"bad"])[0, 0]) * toxicity.KINDS, toxicity.BUCKETS * toxicity.KINDS
+        assert whole(found["seen"], size)[bad] == whole(found["hit"], size)[bad] == 67 - numbers[3]
+        assert np.allclose(whole(found["grams en"], langid.COUNTS), langid.text_counts([t for _, t, x in rows if x == "en"], 4))
+
+
+def test_toxicity_features_are_of_leading_characters():
+    got = toxicity.features([b"abcdefghij", b"(abcdefghij!)", b"abcdexxxxx", "äb€d".encode(), "äb€".encode(), b"ab", b"", b"\xff"])
+    assert got.shape == (8, toxicity.KINDS) and got.min() >= 0 and got.max() < toxicity.BUCKETS and np.array_equal(got[0], got[1])
+    assert (got[0] == got[2]).tolist() == [False] + [n <= 5 for n in toxicity.PREFIXES]
+    assert (got[3] == got[4]).tolist() == [False] + [n <= 3 for n in toxicity.PREFIXES]
+    assert len(set(got[5].tolist())) == toxicity.KINDS
+
+
+def test_toxicity_parts_of_a_unit_join():
+    texts = [b"a b a", b"c", b"", b"b c d e"]
+    parts = [toxicity.Unit.of([(0, 1, None, t) for t in some], True) for some in (texts[:1], texts[1:3], texts[3:])]
+    unit, want = toxicity.Unit.joined(parts), toxicity.Coded(texts)
+    assert len(unit.features) == 5 and unit.kept == texts and len(unit.labels) == 4
+    for got, text in zip(unit.texts, want.texts, strict=True):
+        assert np.array_equal(unit.features[got], want.features[text])
+
+
+def test_text_counts_are_those_of_learning():
+    texts = ["Das ist, das war", "η γλώσσα", "", "das x" * 30]
+    p = langid.LangParams()
+    slow = langid.LanguageModel(p, ["a"])
+    for t in texts:
+        slow.learn("a", t)
+    fast = langid.text_counts(texts, p.longest_gram, block=3)
+    assert np.array_equal(fast, np.concatenate([slow.counts[:, 0], slow.scripts[:, 0]]))
+
+
 def _small_network():
     rng = np.random.default_rng(4)
     model = toxicity.ToxicityModel(toxicity.CnnParams())
@@ -129,6 +189,22 @@ def test_toxicity_logits_of_a_block_are_those_of_its_texts():
         assert np.allclose(model.logits(coded, block), want, atol=1e-4)
 
 
+def test_toxicity_gradients_of_a_batch_are_the_sum_of_its_texts():
+    model, coded = _small_network()
+    part, labels, weights = np.array([5, 0, 3, 4, 2]), np.array([1.0, 0, 1, 0, 0]), np.array([0.3, 0.1, 0.2, 0.5, 0.4])
+    grads, want = ({key: np.zeros_like(v) for key, v in model.dense().items()} for _ in range(2))
+    touched = []
+    offset = sum(model.gradients(coded, k, y, x, want, touched) for k, y, x in zip(part, labels, weights, strict=True))
+    got, rows, pull = model.batch_gradients(coded, part, labels, weights, grads)
+    tables = np.zeros((2, *model.table.shape))
+    for at, g in touched:
+        np.add.at(tables[0], at, g)
+    for at, g in zip(rows, pull, strict=True):
+        np.add.at(tables[1], at, g)
+    assert np.isclose(got, offset) and np.allclose(tables[0], tables[1], atol=1e-6) and tables[0].any()
+    assert all(np.allclose(grads[key], want[key], atol=1e-5) for key in grads)
+
+
 def test_toxicity_gradients_by_finite_differences():
     model, coded = _small_network()
     for name in ("table", "out", "offset"):
