@@ -54,13 +54,15 @@ ALL_LINES = LineParams(least_equal=1)
 
 
 def _segment_keys(line: Column, length: Column, p: LineParams) -> Column:
-    """Hashes of (length, segment number, segment): the index side."""
+    """Hashes of (length, segment number, segment): the index side. One expression over a list of numbers, as one for each
+    number together make a method that is too large for the JVM to compile."""
     k = p.errors + 1
-    keys = []
-    for i in range(k):
+
+    def key(i: Column) -> Column:
         start, end = F.floor(length * i / k), F.floor(length * (i + 1) / k)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start.cast("int") + 1, (end - start).cast("int"))))
-    return F.array(*keys)
+        return F.xxhash64(length, i, F.substring(line, start.cast("int") + 1, (end - start).cast("int")))
+
+    return F.transform(F.array(*map(F.lit, range(k))), key)
 
 
 def _probe_keys(line: Column, length: Column, p: LineParams) -> Column:
@@ -70,15 +72,19 @@ def _probe_keys(line: Column, length: Column, p: LineParams) -> Column:
     most errors - i after it: its place differs by at most i from its own, and by at most
     errors - i from its own moved by the difference in length.
     """
-    k, keys = p.errors + 1, []
+    k, places = p.errors + 1, []
     for less in range(k):
-        n = length - less
         for i in range(k):
-            start, size = F.floor(n * i / k), F.floor(n * (i + 1) / k) - F.floor(n * i / k)
             for move in range(max(-i, less - (p.errors - i)), min(i, less + (p.errors - i)) + 1):
-                at = (start + move).cast("int")
-                keys.append(F.when((at >= 0) & (at + size <= length) & (n >= p.least_chars), F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size.cast("int")))))
-    return F.array(*keys)
+                places.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move")))
+
+    def key(place: Column) -> Column:
+        n, i = length - place["less"], place["i"]
+        start, end = F.floor(n * i / k), F.floor(n * (i + 1) / k)
+        at, size = (start + place["move"]).cast("int"), (end - start).cast("int")
+        return F.when((at >= 0) & (at + size <= length) & (n >= p.least_chars), F.xxhash64(n, i, F.substring(line, at + 1, size)))
+
+    return F.transform(F.array(*places), key)
 
 
 def within_edits(a: Column, b: Column, errors: int) -> Column:
@@ -130,7 +136,7 @@ def _bag_distance(a: Column, b: Column) -> Column:
     out = F.lit(0)
     for k in range(len(BAG)):
         apart = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
-        out = out + F.least(apart, 16 - apart)
+        out = out + 8 - F.abs(8 - apart)  # the lesser of apart and 16 - apart
     return out
 
 

@@ -103,6 +103,45 @@ def test_within_edits(spark, errors):
     assert all(r.near == (_distance(r.a, r.b) <= errors) for r in df.collect())
 
 
+def test_line_keys_meet(spark):
+    """A line within two edits meets another under a key."""
+    rng, p = random.Random(5), linededup.LineParams()
+    rows = []
+    for k in range(60):
+        line = [rng.choice("abcdefgh é") for _ in range(rng.randint(27, 60))]
+        other = list(line)
+        for _ in range(2):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[], ["x"], ["x", other[at]]])
+        rows += [(2 * k, "".join(line)), (2 * k + 1, "".join(other))]
+    lines = spark.createDataFrame(rows, "h1 long, line string").withColumn("chars", F.char_length("line"))
+    keys = [lines.select("h1", F.explode(f(F.col("line"), F.col("chars"), p)).alias("key")) for f in (linededup._segment_keys, linededup._probe_keys)]
+    own, probes = ({(r.h1, r.key) for r in df.where("key is not null").collect()} for df in keys)
+    for k in range(60):
+        short, long = sorted((2 * k, 2 * k + 1), key=lambda n: len(rows[n][1]))
+        assert {key for n, key in own if n == short} & {key for n, key in probes if n == long}
+
+
+def test_code_over_all_lines_is_small_enough_to_be_compiled(spark, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes; over every line, none is near that."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes, write = {}, linededup.materialize
+
+    def measured(df, label):
+        stats = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        sizes[label] = max(stats.apply(n)._3().maxMethodCodeSize() for n in range(stats.size()))
+        return write(df, label)
+
+    monkeypatch.setattr(linededup, "materialize", measured)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linededup.duplicate_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), linededup.ALL_LINES)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert max(sizes.values()) < 7000
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_lines_match_all_pairs(spark, seed):
     rng = random.Random(seed)
