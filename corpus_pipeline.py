@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm import decontamination, jaccard, linededup, mixing, toxicity
-from sylvan.llm.common import discard, fold_of, materialize, small_batches, table
+from sylvan.llm.common import discard, fold_of, free_executors, materialize, small_batches, table
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     """The columns of documents, in their types; others are left out."""
     small_batches(docs.sparkSession)
+    free_executors(docs.sparkSession)
     types = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
 

@@ -47,3 +47,15 @@ def test_rows_with_the_same_or_no_id_are_told_apart(spark):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.remove_near_copies(spark, docs.repartition(3), SF).collect()), key=str)
     either = [sorted([(5, texts[0]), (5, texts[1]), (None, t), (7, ""), (None, ""), (None, None)], key=str) for t in (texts[2], texts[2] + " end")]
     assert got in either
+
+
+def test_stages_begin_with_executors_that_gave_back_memory(spark):
+    """Python's workers share an executor's memory with its JVM, which shrinks in a full collection alone."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def collections():
+        return sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+
+    before = collections()
+    corpus_pipeline._documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert collections() > before
