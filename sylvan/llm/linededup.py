@@ -53,38 +53,41 @@ class LineParams:
 ALL_LINES = LineParams(least_equal=1)
 
 
-def _segment_keys(line: Column, length: Column, p: LineParams) -> Column:
-    """Hashes of (length, segment number, segment): the index side. One expression over a list of numbers, as one for each
-    number together make a method that is too large for the JVM to compile."""
-    k = p.errors + 1
+#: The encoding in which each character takes as many bytes: parts of a line are then cut out without counting through its characters.
+WIDE, WIDTH = "UTF-32", 4
+
+
+def _cut(line: Column, at: Column, size: Column, width: int) -> Column:
+    """``size`` characters from number ``at``, from 0; a line in WIDE has a width of WIDTH, a string one of 1."""
+    return F.substring(line, at * width + 1, size * width)
 
-    def key(i: Column) -> Column:
-        start, end = F.floor(length * i / k), F.floor(length * (i + 1) / k)
-        return F.xxhash64(length, i, F.substring(line, start.cast("int") + 1, (end - start).cast("int")))
 
-    return F.transform(F.array(*map(F.lit, range(k))), key)
+def _segment_keys(line: Column, length: Column, p: LineParams, width: int = 1) -> Column:
+    """Hashes of (length, segment number, segment): the index side."""
+    k = p.errors + 1
+    keys = []
+    for i in range(k):
+        start, end = F.floor(length * i / k), F.floor(length * (i + 1) / k)
+        keys.append(F.xxhash64(length, F.lit(i), _cut(line, start.cast("int"), (end - start).cast("int"), width)))
+    return F.array(*keys)
 
 
-def _probe_keys(line: Column, length: Column, p: LineParams) -> Column:
+def _probe_keys(line: Column, length: Column, p: LineParams, width: int = 1) -> Column:
     """Hashes under which lines of this length or up to ``errors`` shorter may be indexed.
 
     If segment i is the first unchanged one, at most i edits came before it and at
     most errors - i after it: its place differs by at most i from its own, and by at most
     errors - i from its own moved by the difference in length.
     """
-    k, places = p.errors + 1, []
+    k, keys = p.errors + 1, []
     for less in range(k):
+        n = length - less
         for i in range(k):
+            start, size = F.floor(n * i / k), F.floor(n * (i + 1) / k) - F.floor(n * i / k)
             for move in range(max(-i, less - (p.errors - i)), min(i, less + (p.errors - i)) + 1):
-                places.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move")))
-
-    def key(place: Column) -> Column:
-        n, i = length - place["less"], place["i"]
-        start, end = F.floor(n * i / k), F.floor(n * (i + 1) / k)
-        at, size = (start + place["move"]).cast("int"), (end - start).cast("int")
-        return F.when((at >= 0) & (at + size <= length) & (n >= p.least_chars), F.xxhash64(n, i, F.substring(line, at + 1, size)))
-
-    return F.transform(F.array(*places), key)
+                at = (start + move).cast("int")
+                keys.append(F.when((at >= 0) & (at + size <= length) & (n >= p.least_chars), F.xxhash64(n, F.lit(i), _cut(line, at, size.cast("int"), width))))
+    return F.array(*keys)
 
 
 def within_edits(a: Column, b: Column, errors: int) -> Column:
@@ -147,7 +150,9 @@ def _hashes(value: str) -> list[Column]:
 
 def _lines(documents: DataFrame, p: LineParams) -> DataFrame:
     """The lines that may go: (t1, t2) is the text they are of, (h1, h2) the line itself."""
-    rows = documents.select("doc_id", *(h.alias(f"t{k + 1}") for k, h in enumerate(_hashes("text"))), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # the text's hashes in a step of their own: beside posexplode they would be made again for each line
+    rows = documents.select("doc_id", "text", *(h.alias(f"t{k + 1}") for k, h in enumerate(_hashes("text"))))
+    rows = rows.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     chars = F.col("chars")
     wanted = chars >= p.least_chars
     if p.least_equal < p.least_chars:
@@ -163,8 +168,11 @@ def duplicate_lines(documents: DataFrame, params: LineParams | None = None) -> D
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = _lines(documents, p)
     long = F.col("chars") >= p.least_chars
-    keys = [F.when(long, k(F.col("line"), F.col("chars"), p)).alias(name) for name, k in (("own", _segment_keys), ("probes", _probe_keys))]
-    coded = lines.select("h1", "h2", "at", *keys)
+    # Spark makes no code for functions over lists, and leaves a step that has one out of the method that it makes of a whole stage: so
+    # the keys go to small methods, which the JVM compiles. Inside such a function they would not be compiled at all.
+    in_small_methods = F.exists(F.array("chars"), lambda chars: chars >= p.least_chars)
+    keys = [F.when(in_small_methods, k(F.col("wide"), F.col("chars"), p, WIDTH)).alias(name) for name, k in (("own", _segment_keys), ("probes", _probe_keys))]
+    coded = lines.withColumn("wide", F.encode("line", WIDE)).select("h1", "h2", "at", *keys)
     distinct = coded.groupBy("h1", "h2").agg(F.min(F.struct("at", "own", "probes")).alias("first"), F.count("*").alias("copies"))
     distinct = materialize(distinct.select("h1", "h2", "copies", "first.*"), "lines-distinct")
     index = distinct.select("h1", F.lit(True).alias("own"), F.explode("own").alias("key"))

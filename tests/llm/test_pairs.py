@@ -142,6 +142,34 @@ def test_code_over_all_lines_is_small_enough_to_be_compiled(spark, monkeypatch):
     assert max(sizes.values()) < 7000
 
 
+def test_wide_lines_meet_as_strings_do(spark):
+    rng, p = random.Random(7), linededup.LineParams()
+    rows = [(k, "".join(rng.choice("abé😀") for _ in range(rng.randint(25, 28)))) for k in range(80)]
+    rows += [(100 + k, line[:3] + line[4:]) for k, line in rows]
+    lines = spark.createDataFrame(rows, "h1 long, line string").withColumn("chars", F.char_length("line")).withColumn("wide", F.encode("line", linededup.WIDE))
+    met = []
+    for line, width in (("line", 1), ("wide", linededup.WIDTH)):
+        own, probes = (lines.select(F.col("h1").alias(n), F.explode(f(F.col(line), F.col("chars"), p, width)).alias("key")) for n, f in (("a", linededup._segment_keys), ("b", linededup._probe_keys)))
+        met.append({tuple(r) for r in own.join(probes, "key").select("a", "b").collect()})
+    assert met[0] == met[1] and len(met[0]) > 160
+
+
+def test_what_is_made_for_each_line_is_compiled_and_made_once(spark, monkeypatch):
+    """A text's hashes are made below the step that takes it apart, not for each of its lines; keys are not made inside functions
+    over lists, which are interpreted."""
+    plans, write = {}, linededup.materialize
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(linededup, "materialize", seen)
+    linededup.duplicate_lines(spark.createDataFrame([(1, "a line of some characters and more\nb"), (2, "c")], DOC), linededup.ALL_LINES)
+    above, below = plans["lines-distinct"].split("Generate posexplode")
+    assert "xxhash64(text" not in above and "xxhash64(text" in below
+    assert "xxhash64(line" in above and "transform(" not in above
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_lines_match_all_pairs(spark, seed):
     rng = random.Random(seed)
