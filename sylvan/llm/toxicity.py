@@ -483,6 +483,7 @@ def _train(units: DataFrame, model: ToxicityModel, share: float) -> None:
         dense = whole(found.get("dense"), sizes + 1)
         model.unpack(dense[:-1] / dense[-1], state)
         shared.destroy()
+        free_shuffles(units.sparkSession)  # a pass shuffles what each unit made of the model
 
 
 def _calibrate(units: DataFrame, model: ToxicityModel) -> None:
@@ -515,6 +516,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, params: CnnPara
     while True:
         discard(units)
         units = _code(rows, p, languages, hold)
+        free_shuffles(documents.sparkSession)  # the texts, of which units hold all that is needed
         found = add_up(units.where("kind not in ('learn', 'judge')"))
         n, positives, held, held_positives = whole(found.get("rows"), 4)
         if positives in (0, n):

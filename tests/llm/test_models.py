@@ -125,6 +125,17 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert sum(got[i] > unknown for i in range(1800)) > 1250
 
 
+def test_toxicity_lets_go_of_shuffles_as_it_learns(spark, monkeypatch):
+    """Of the texts once they are coded, and of each pass: else what all passes shuffle lies on disk together."""
+    made, add, free = [], toxicity.add_up, toxicity.free_shuffles
+    monkeypatch.setattr(toxicity, "add_up", lambda rows: made.append("add") or add(rows))
+    monkeypatch.setattr(toxicity, "free_shuffles", lambda session: made.append("free") or free(session))
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 3 == 0 else 'good'} w{i}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    params = toxicity.CnnParams(epochs=2)
+    toxicity.fit(docs, docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) as toxic"), F.lit(True), params)
+    assert made[:6] == ["free", "add"] + ["add", "free"] * params.epochs
+
+
 def test_toxicity_units_and_repeats(spark):
     """Equal rows count once; the units hold every labelled row, however many they are; numbers are those of the texts."""
     rows = [(i, f"{'bad' if i % 3 == 0 else 'good'} w{i} end", "en" if i % 2 else None) for i in range(200)]
