@@ -430,7 +430,7 @@ def _code(rows: DataFrame, p: CnnParams, languages: list[str], hold: bool) -> Da
             for name, values in (("seen", seen[0]), ("hit", seen[1]), *((f"grams {x}", v) for x, v in sorted(grams.items()))):
                 yield pieces(name, unit, values)
 
-    units = materialize(rows.mapInArrow(lean(run), PIECES), "toxicity-units")
+    units = materialize(rows.mapInArrow(lean(run), PIECES), "toxicity-units", compression="zstd")
     free_executors(rows.sparkSession)
     return units
 
