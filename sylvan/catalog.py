@@ -469,7 +469,7 @@ def tree_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over a tree: priorities go, the status element is unwrapped, finished orders are renamed."""
     nodes = _order_trees(spark, sf_dir)
     done = axes.step(axes.step(nodes.where("kind = 'text' and value = 'F'"), nodes, "parent", axes.node_test("status")), nodes, "parent").select("doc_id", "node_id", F.lit("done").alias("_name"))
-    marked = nodes.join(done.distinct(), ["doc_id", "node_id"], "left")
+    marked = axes.joined(nodes, done.distinct(), ["doc_id", "node_id"], "left")
     return trees.serialize(axes.transform_tree(marked, F.col("local") == "priority", F.col("local") == "status", F.col("_name")).drop("_name"))
 
 
@@ -500,7 +500,7 @@ def _axis(axis: str, n: str) -> None:
         test = None if axis in ("attribute", "namespace") else axes.node_test()
         counts = axes.step(orders, nodes, axis, test).groupBy("doc_id", "ctx_id").agg(F.count("*").alias("n"))
         named = orders.select("doc_id", F.col("node_id").alias("ctx_id"), F.element_at("attrs", "id").alias("id"))
-        return named.join(counts, ["doc_id", "ctx_id"]).select("doc_id", "id", "n")
+        return axes.joined(named, counts, ["doc_id", "ctx_id"]).select("doc_id", "id", "n")
 
     query(f"tree_axis_{axis.replace('-', '_')}", f"SELECT doc_id, id, {n} AS n FROM ({_TREE}) WHERE {n} > 0")(run)
 

@@ -4,7 +4,7 @@ A step takes context rows (with doc_id and node_id) and gives the nodes reached,
 each once for each context, as columns ctx_id and the node's own. Every join has
 an equality on doc_id, so that only nodes of one document meet. Descendants and
 ancestors are ranges of node_id within it, joined by equality on blocks of ids, so
-that a large document is not one task's work.
+that a large document is not one task's work. No join is a broadcast (see joined).
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ def node_test(name: str = "*", kind: str = "element", ns: str | None = None) ->
     return test & (F.col("ns") == ns) if ns is not None else test
 
 
+def joined(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """A join over node tables, by sorted keys. Spark would guess sizes from what is read, of which parsing, exploding and
+    decompressing make many times as much, and so send tables to the driver that do not fit there."""
+    return left.join(right.hint("merge"), on, how)
+
+
 #: A block of rank k holds 16^k ids; ids of 32 bits need no more ranks.
 RANKS = 7
 
@@ -55,7 +61,7 @@ def _within(nodes: DataFrame, of_nodes: Column, context: DataFrame, of_context:
     found once, as the blocks of a range are disjoint."""
     n = nodes.withColumn("_n", F.explode(of_nodes))
     c = context.withColumn("_c", F.explode(of_context))
-    return c.join(n, (F.col("doc_id") == F.col("c_doc")) & (F.col("_n.rank") == F.col("_c.rank")) & (F.col("_n.block") == F.col("_c.block")))
+    return joined(c, n, (F.col("doc_id") == F.col("c_doc")) & (F.col("_n.rank") == F.col("_c.rank")) & (F.col("_n.block") == F.col("_c.block")))
 
 
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +90,7 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None =
         }
         if axis not in on:
             raise ValueError(f"XPST0003: no axis {axis}")
-        found = c.join(nodes, (F.col("doc_id") == F.col("c_doc")) & on[axis])
+        found = joined(c, nodes, (F.col("doc_id") == F.col("c_doc")) & on[axis])
     return found.select(*carry, "ctx_id", *NODE)
 
 
@@ -113,24 +119,24 @@ def string_values(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, text): the text nodes inside each context node, in order."""
     parts = step(context, nodes, "descendant-or-self", F.col("kind") == "text")
     texts = parts.groupBy("doc_id", "ctx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"]), "").alias("text"))
-    keys = context.select("doc_id", "node_id").join(texts.withColumnRenamed("ctx_id", "node_id"), ["doc_id", "node_id"], "left")
+    keys = joined(context.select("doc_id", "node_id"), texts.withColumnRenamed("ctx_id", "node_id"), ["doc_id", "node_id"], "left")
     return keys.select("doc_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def root(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    return nodes.where("node_id = 0").join(context.select("doc_id").distinct(), "doc_id", "left_semi")
+    return joined(nodes.where("node_id = 0"), context.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def by_id(values: DataFrame, nodes: DataFrame, attribute: str = "id") -> DataFrame:
     """id(): elements whose id attribute is one of the white-space separated tokens in values.value."""
     tokens = values.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("id")).where("id <> ''").distinct()
-    return nodes.where("kind = 'element'").withColumn("_id", F.try_element_at("attrs", F.lit(attribute))).join(tokens, F.col("_id") == F.col("id"), "left_semi").drop("_id")
+    return joined(nodes.where("kind = 'element'").withColumn("_id", F.try_element_at("attrs", F.lit(attribute))), tokens, F.col("_id") == F.col("id"), "left_semi").drop("_id")
 
 
 def idref(ids: DataFrame, nodes: DataFrame, attribute: str = "idref") -> DataFrame:
     """idref(): elements whose idref attribute mentions one of the ids in ids.value."""
     mentions = nodes.where("kind = 'element'").withColumn("_ref", F.explode(F.split(F.try_element_at("attrs", F.lit(attribute)), r"\s+")))
-    return mentions.join(ids.select(F.col("value").alias("_ref")).distinct(), "_ref", "left_semi").drop("_ref").dropDuplicates(["doc_id", "node_id"])
+    return joined(mentions, ids.select(F.col("value").alias("_ref")).distinct(), "_ref", "left_semi").drop("_ref").dropDuplicates(["doc_id", "node_id"])
 
 
 def outermost(nodes: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     labels = named.select("doc_id", F.col("node_id").alias("u_id"), label.alias("u_label"))
     up = step(named, named, "ancestor-or-self").select("doc_id", "ctx_id", F.col("node_id").alias("u_id"))
     parts = F.array_sort(F.collect_list(F.struct("u_id", "u_label")))
-    return up.join(labels, ["doc_id", "u_id"]).groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["u_label"]), "/")).alias("path"))
+    return joined(up, labels, ["doc_id", "u_id"]).groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["u_label"]), "/")).alias("path"))
 
 
 def lang(nodes: DataFrame, wanted: str) -> DataFrame:
@@ -162,7 +168,7 @@ def lang(nodes: DataFrame, wanted: str) -> DataFrame:
     near = positional(step(nodes.where("kind = 'element'"), marked.where("_lang is not null").drop("_lang"), "ancestor-or-self"), "ancestor-or-self", 1)
     tag = F.lower(F.try_element_at("attrs", F.lit("xml:lang")))
     fits = near.where((tag == wanted.lower()) | tag.startswith(wanted.lower() + "-")).select("doc_id", F.col("ctx_id").alias("node_id"))
-    return nodes.join(fits, ["doc_id", "node_id"], "left_semi")
+    return joined(nodes, fits, ["doc_id", "node_id"], "left_semi")
 
 
 def match_pattern(nodes: DataFrame, *steps: str) -> DataFrame:
@@ -176,7 +182,7 @@ def match_pattern(nodes: DataFrame, *steps: str) -> DataFrame:
             continue
         on = (F.col("doc_id") == F.col("_d")) & (F.lit(name == "*") | (F.col("_l") == name))
         on = on & ((F.col("_i") <= F.col("_top")) & (F.col("_i") + F.col("_s") >= F.col("_top")) if loose else F.col("_i") == F.col("_top"))
-        found = found.join(elements, on).withColumn("_top", F.col("_p")).drop("_d", "_i", "_p", "_l", "_s").dropDuplicates(["doc_id", "node_id", "_top"])
+        found = joined(found, elements, on).withColumn("_top", F.col("_p")).drop("_d", "_i", "_p", "_l", "_s").dropDuplicates(["doc_id", "node_id", "_top"])
         loose = False
     return found.drop("_top", "_me").dropDuplicates(["doc_id", "node_id"])
 
@@ -193,7 +199,7 @@ def accumulate_tree(nodes: DataFrame, start: Column, end: Column, initial: float
     w = Window.partitionBy("doc_id").orderBy("_at", "_out", "_deep").rowsBetween(Window.unboundedPreceding, 0)
     events = enter.unionByName(leave).withColumn("_sum", F.lit(initial) + F.sum("_v").over(w))
     values = events.groupBy("doc_id", "node_id").agg(F.max(F.when(F.col("_out") == 0, F.col("_sum"))).alias("accumulator_before"), F.max(F.when(F.col("_out") == 1, F.col("_sum"))).alias("accumulator_after"))
-    return nodes.join(values, ["doc_id", "node_id"])
+    return joined(nodes, values, ["doc_id", "node_id"])
 
 
 def transform_tree(nodes: DataFrame, drop: Column | None = None, unwrap: Column | None = None, rename: Column | None = None, attrs: Column | None = None) -> DataFrame:
@@ -215,4 +221,4 @@ def snapshot(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """fn:snapshot: each context node with the names and attributes of its ancestors, outermost first."""
     up = step(context, nodes, "ancestor", F.col("kind") == "element")
     spine = up.groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "local", F.to_json("attrs").alias("attrs")))), lambda x: F.struct(x["local"].alias("local"), x["attrs"].alias("attrs"))).alias("ancestors"))
-    return context.join(spine, ["doc_id", "node_id"], "left")
+    return joined(context, spine, ["doc_id", "node_id"], "left")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.functions import regex
+from sylvan.operators import axes
 from sylvan.plans.query import INTEGER_RANGES, XSD, castable_column, compile_row
 from sylvan.plans.values import Val
 
@@ -156,7 +157,7 @@ def validate_content(nodes: DataFrame, models: dict[str, Particle]) -> DataFrame
     elements = nodes.where("kind = 'element'")
     children = elements.select("doc_id", F.col("parent_id").alias("node_id"), F.struct("node_id", "local").alias("child"))
     lists = children.groupBy("doc_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("child")), lambda c: c["local"]), ",").alias("names"))
-    rows = elements.where(F.col("local").isin(*models)).select("doc_id", "node_id", "local").join(lists, ["doc_id", "node_id"], "left")
+    rows = axes.joined(elements.where(F.col("local").isin(*models)).select("doc_id", "node_id", "local"), lists, ["doc_id", "node_id"], "left")
     text = F.when(F.col("names").isNotNull(), F.concat("names", F.lit(","))).otherwise("")
     fits = reduce(lambda a, b: a | b, ((F.col("local") == name) & F.rlike(text, F.lit(r"\A" + m.pattern() + r"\z")) for name, m in models.items()))
     return rows.where(~fits).select(F.col("doc_id").alias("doc"), F.concat("local", F.lit("#"), "node_id").alias("path"), F.lit("cvc-complex-type.2.4").alias("code"), F.coalesce("names", F.lit("")).alias("message"))

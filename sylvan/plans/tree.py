@@ -86,7 +86,7 @@ class Tree:
             a, b = (self._path(start, p, carry, attributes) for p in n.parts)
             if n.name == "union":
                 return a.unionByName(b).dropDuplicates([*carry[:1], *KEY])
-            return a.join(b, [*carry[:1], *KEY], {"intersect": "left_semi", "except": "left_anti"}[n.name])
+            return axes.joined(a, b, [*carry[:1], *KEY], {"intersect": "left_semi", "except": "left_anti"}[n.name])
         rows = start
         for s in _fused(n.parts if n.kind == "path" else (n,)):
             rows = self._step(rows, s, carry, attributes)
@@ -99,7 +99,7 @@ class Tree:
         if n.kind == "root":
             if rows is self.documents:
                 return rows
-            return rows.select(*carry, "doc_id").distinct().join(self.documents, "doc_id").select(*carry, *COLUMNS)
+            return axes.joined(rows.select(*carry, "doc_id").distinct(), self.documents, "doc_id").select(*carry, *COLUMNS)
         if n.kind == "step":
             return self._once(self._reached(rows, n, carry, attributes), n.name, carry)
         if n.kind != "filter":
@@ -178,7 +178,7 @@ class Tree:
         if not counts and (_is_path(core) or _compares_path(core)):
             at = self._name("at")
             hits = self._hits(place, core, at)
-            return place.df.join(hits, at, "left_anti" if negated else "left_semi").drop(at, *place.found)
+            return axes.joined(place.df, hits, at, "left_anti" if negated else "left_semi").drop(at, *place.found)
         order = [F.col(c).desc() if base.kind == "step" and base.name in axes.REVERSE else F.col(c) for c in ("node_id", "attr")]
         position, size = F.row_number().over(Window.partitionBy(*group).orderBy(*order)), F.count("*").over(Window.partitionBy(*group))
         if counts:
@@ -213,11 +213,11 @@ class Tree:
             start = self._origins(place, at)
             x, y = (self._valued(self._path(start, p, [at], place.attributes), p).select(at, "text") for p in (a, b))
             if op == "=":
-                return x.join(y, [at, "text"], "left_semi").select(at).distinct()
+                return axes.joined(x, y, [at, "text"], "left_semi").select(at).distinct()
             ends = lambda df, name: df.groupBy(at).agg(F.min("text").alias(name + "0"), F.max("text").alias(name + "1"))
             x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
             test = {"<": x0 < y1, "<=": x0 <= y1, ">": x1 > y0, ">=": x1 >= y0, "!=": (x0 != y1) | (x1 != y0)}[op]
-            return ends(x, "x").join(ends(y, "y"), at).where(test).select(at)
+            return axes.joined(ends(x, "x"), ends(y, "y"), at).where(test).select(at)
         if not _is_path(a):
             a, b, op = b, a, FLIPPED.get(op, op)
         other = self._built(place, self._attached(place, b))
@@ -270,7 +270,7 @@ class Tree:
     def _flag(self, place: _Place, n: Node) -> Node:
         at, name = self._name("at"), self._name("v")
         hits = self._hits(place, n, at).withColumn(name, F.lit(True))
-        place.df = place.df.join(hits, at, "left").drop(at).withColumn(name, F.coalesce(name, F.lit(False)))
+        place.df = axes.joined(place.df, hits, at, "left").drop(at).withColumn(name, F.coalesce(name, F.lit(False)))
         place.found[name] = Val(F.col(name), "boolean")
         return Node("variable", name)
 
@@ -291,7 +291,7 @@ class Tree:
             made, kind = F.when(F.max(F.isnan(number)), F.lit(float("nan"))).otherwise(F.min(number) if how == "min" else F.max(number)), "double"
         else:
             made, kind = F.sum(number) if how == "sum" else F.avg(number), "double"
-        place.df = place.df.join(values.groupBy(at).agg(made.alias(name)), at, "left").drop(at)
+        place.df = axes.joined(place.df, values.groupBy(at).agg(made.alias(name)), at, "left").drop(at)
         missing = {"count": F.lit(0).cast("long"), "sum": F.lit(0.0), "all": F.array().cast("array<string>")}.get(how)
         if missing is not None:
             place.df = place.df.withColumn(name, F.coalesce(name, missing))
@@ -307,9 +307,9 @@ class Tree:
         inner = found.where("kind in ('element', 'document')").select("doc_id", "node_id", "parent_id", "size").distinct()
         texts = axes.step(inner, self.table, "descendant", F.col("kind") == "text").groupBy("doc_id", "ctx_id")
         parts = F.array_sort(F.collect_list(F.struct("node_id", "value")))
-        joined = texts.agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("_inside")).withColumnRenamed("ctx_id", "node_id")
+        inner_texts = texts.agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("_inside")).withColumnRenamed("ctx_id", "node_id")
         inside = F.when(F.col("kind").isin("element", "document"), F.coalesce("_inside", F.lit(""))).otherwise(F.col("value"))
-        return found.join(joined, ["doc_id", "node_id"], "left").withColumn("text", inside).drop("_inside")
+        return axes.joined(found, inner_texts, ["doc_id", "node_id"], "left").withColumn("text", inside).drop("_inside")
 
 
 def _compared(text: Column, op: str, other: Val) -> Column:
