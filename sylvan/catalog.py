@@ -408,11 +408,12 @@ def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.shred(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("html"), html=True)
 
 
-def _order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An XML document of each customer's orders."""
+def _order_trees(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """An XML document of each customer's orders; written, unless the query reads it only ``once``."""
     order = F.concat(F.lit('<order id="'), F.col("o_orderkey").cast("string"), F.lit('"><status>'), "o_orderstatus", F.lit("</status><priority>"), "o_orderpriority", F.lit("</priority></order>"))
     docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", order.alias("x")))), lambda s: s["x"]), "").alias("x"))
-    return trees.shred(docs, F.col("o_custkey"), F.concat(F.lit("<orders>"), "x", F.lit("</orders>")))
+    nodes = trees.shred(docs, F.col("o_custkey"), F.concat(F.lit("<orders>"), "x", F.lit("</orders>")))
+    return nodes if once else trees.written(nodes)
 
 
 @query("tree_path", "SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus = 'F'")
@@ -441,7 +442,7 @@ def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tree_serialize", "SELECT o_custkey::VARCHAR AS doc_id, '<orders>' || string_agg('<order id=\"' || o_orderkey || '\"><status>' || o_orderstatus || '</status><priority>' || o_orderpriority || '</priority></order>', '' ORDER BY o_orderkey) || '</orders>' AS text FROM orders GROUP BY 1")
 def tree_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.serialize(_order_trees(spark, sf_dir))
+    return trees.serialize(_order_trees(spark, sf_dir, once=True))
 
 
 @query("tree_content_model", "SELECT o_custkey::VARCHAR AS doc, count(*) AS children, 'cvc-complex-type.2.4' AS code FROM orders GROUP BY 1 HAVING count(*) > 12")
@@ -558,7 +559,7 @@ def tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id(): the orders with the ids that line items name."""
     wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("value"))
-    return axes.by_id(wanted, _order_trees(spark, sf_dir)).select(F.element_at("attrs", "id").alias("id"))
+    return axes.by_id(wanted, _order_trees(spark, sf_dir, once=True)).select(F.element_at("attrs", "id").alias("id"))
 
 
 @query("json_to_xml", "SELECT event_id, '<map xmlns=\"http://www.w3.org/2005/xpath-functions\"><number key=\"k\">' || CAST(json_extract(props, '$.k') AS VARCHAR) || '</number></map>' AS xml, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS back FROM events")

@@ -1,15 +1,39 @@
-"""What the plans of queries over trees may do with large tables."""
+"""What queries over trees may do with large tables."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan import catalog
+from sylvan.sources import nodes as trees
 
 SF = "/root/testdata/sf0.001"
 #: Queries that failed on larger tables, as node tables were sent to the driver.
 SENT = ["tree_axis_descendant"]
 
 
+def _plan(spark, name):
+    return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", SENT)
 def test_no_node_table_is_sent_to_the_driver(spark, name):
-    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(spark, name)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_documents_are_parsed_once(spark):
+    plan = _plan(spark, "tree_transform").partition("\n== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1  # which serialises
+
+
+def test_documents_share_batches(spark):
+    texts = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.format_string('<a n="%s"><b>x</b></a>', "id").alias("x")).coalesce(1)
+    nodes = trees.shred(texts, F.col("id"), F.col("x"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    assert nodes.mapInArrow(sizes, "n long").where("n > 1000").count()
+    assert {(r.doc_id, r.text) for r in trees.serialize(nodes).collect()} == {(r.id, r.x) for r in texts.collect()}
