@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE = ["doc_id", "node_id", "size", "level", "parent_id", "kind", "ns", "local", "prefix", "value", "attrs", "ns_in_scope"]
+NODE = ["doc_id", "node_id", "size", "level", "parent_id", "kind", "ns", "local", "prefix", "value", "attrs", "ns_in_scope", "last"]
 REVERSE = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 
 
@@ -32,8 +32,10 @@ def joined(left: DataFrame, right: DataFrame, on: Column | str | list[str], how:
     return left.join(right.hint("merge"), on, how)
 
 
-#: A block of rank k holds 16^k ids; ids of 32 bits need no more ranks.
+#: A block of rank k holds 16^k numbers; numbers of 32 bits need no more ranks.
 RANKS = 7
+#: Ids are numbered by so many together: where a range begins or ends in the midst of them, pairs are compared.
+TOGETHER = 256
 
 
 def _blocks_of_range(low: Column, end: Column) -> Column:
@@ -52,16 +54,30 @@ def _blocks_of_range(low: Column, end: Column) -> Column:
     return F.concat(*parts, span(RANKS - 1, first[-1], after[-1]))
 
 
-def _blocks_of_id(at: Column) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("rank"), F.shiftright(at, 4 * k).cast("long").alias("block")) for k in range(RANKS)))
+def _key(rank: Column, block: Column) -> Column:
+    return F.shiftleft(rank.cast("long"), 32) + block
 
 
-def _within(nodes: DataFrame, of_nodes: Column, context: DataFrame, of_context: Column) -> DataFrame:
+def _keys_of_range(low: Column, end: Column) -> Column:
+    """The ids from low to before end as blocks of TOGETHER ids: the first and the last of them, and the fewest blocks that make up those between."""
+    first, final = F.floor(low / TOGETHER).cast("long"), F.floor((end - 1) / TOGETHER).cast("long")
+    between = F.transform(_blocks_of_range(first + 1, final), lambda b: _key(b["rank"], b["block"]))
+    return F.when(low >= end, F.array().cast("array<bigint>")).when(first == final, F.array(first)).otherwise(F.concat(F.array(first, final), between))
+
+
+def _keys_of_id(at: Column, last: Column) -> Column:
+    """The block of each rank that holds an id, of the ranks that a document with so many ids has."""
+    block, most = F.floor(at / TOGETHER).cast("long"), F.floor(F.coalesce(last, F.lit(2**31 - 1)) / TOGETHER).cast("long")
+    ranks = F.filter(F.array(*(F.lit(k) for k in range(RANKS))), lambda k: (k == 0) | (F.pow(F.lit(16), k) <= most))
+    return F.when(most < 16, F.array(block)).otherwise(F.transform(ranks, lambda k: _key(k, F.floor(block / F.pow(F.lit(16), k)).cast("long"))))
+
+
+def _within(nodes: DataFrame, of_nodes: Column, context: DataFrame, of_context: Column, inside: Column) -> DataFrame:
     """Pairs of a node and a context of one document of which one is an id in the range of the other. Each pair is
     found once, as the blocks of a range are disjoint."""
     n = nodes.withColumn("_n", F.explode(of_nodes))
     c = context.withColumn("_c", F.explode(of_context))
-    return joined(c, n, (F.col("doc_id") == F.col("c_doc")) & (F.col("_n.rank") == F.col("_c.rank")) & (F.col("_n.block") == F.col("_c.block")))
+    return joined(c, n, (F.col("doc_id") == F.col("c_doc")) & (F.col("_n") == F.col("_c")) & inside)
 
 
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
@@ -71,13 +87,13 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None =
         return context.where("kind = 'element'").select(*carry, "doc_id", F.col("node_id").alias("ctx_id"), F.explode(held).alias("local", "value"))
     if test is not None:
         nodes = nodes.where(test)
-    c = context.select(*carry, F.col("doc_id").alias("c_doc"), F.col("node_id").alias("ctx_id"), F.col("parent_id").alias("c_parent"), (F.col("node_id") + F.col("size")).alias("c_end"))
+    c = context.select(*carry, F.col("doc_id").alias("c_doc"), F.col("node_id").alias("ctx_id"), F.col("parent_id").alias("c_parent"), (F.col("node_id") + F.col("size")).alias("c_end"), F.col("last").alias("c_last"))
     at, end, me, c_end = F.col("node_id"), F.col("node_id") + F.col("size"), F.col("ctx_id"), F.col("c_end")
     own = 0 if axis.endswith("-or-self") else 1
     if axis in ("descendant", "descendant-or-self"):
-        found = _within(nodes, _blocks_of_id(at), c, _blocks_of_range(me + own, c_end + 1))
+        found = _within(nodes, _keys_of_id(at, F.col("last")), c, _keys_of_range(me + own, c_end + 1), (at >= me + own) & (at <= c_end))
     elif axis in ("ancestor", "ancestor-or-self"):
-        found = _within(nodes, _blocks_of_range(at + own, end + 1), c, _blocks_of_id(me))
+        found = _within(nodes, _keys_of_range(at + own, end + 1), c, _keys_of_id(me, F.col("c_last")), (me >= at + own) & (me <= end))
     else:
         on = {
             "self": at == me,
@@ -156,10 +172,9 @@ def paths(nodes: DataFrame) -> DataFrame:
     named = nodes.where("kind = 'element'")
     among = Window.partitionBy("doc_id", "parent_id", "ns", "local").orderBy("node_id")
     label = F.concat(F.when(F.col("ns") != "", F.concat(F.lit("Q{"), "ns", F.lit("}"))).otherwise(""), "local", F.lit("["), F.row_number().over(among), F.lit("]"))
-    labels = named.select("doc_id", F.col("node_id").alias("u_id"), label.alias("u_label"))
-    up = step(named, named, "ancestor-or-self").select("doc_id", "ctx_id", F.col("node_id").alias("u_id"))
-    parts = F.array_sort(F.collect_list(F.struct("u_id", "u_label")))
-    return joined(up, labels, ["doc_id", "u_id"]).groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["u_label"]), "/")).alias("path"))
+    up = step(named, named.withColumn("value", label), "ancestor-or-self")
+    parts = F.array_sort(F.collect_list(F.struct("node_id", "value")))
+    return up.groupBy("doc_id", F.col("ctx_id").alias("node_id")).agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["value"]), "/")).alias("path"))
 
 
 def lang(nodes: DataFrame, wanted: str) -> DataFrame:

@@ -304,7 +304,7 @@ class Tree:
         """Nodes with their string value as ``text``: that of elements and documents is the text inside them."""
         if _has_value(n):
             return found.withColumn("text", F.col("value"))
-        inner = found.where("kind in ('element', 'document')").select("doc_id", "node_id", "parent_id", "size").distinct()
+        inner = found.where("kind in ('element', 'document')").select("doc_id", "node_id", "parent_id", "size", "last").distinct()
         texts = axes.step(inner, self.table, "descendant", F.col("kind") == "text").groupBy("doc_id", "ctx_id")
         parts = F.array_sort(F.collect_list(F.struct("node_id", "value")))
         inner_texts = texts.agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("_inside")).withColumnRenamed("ctx_id", "node_id")
