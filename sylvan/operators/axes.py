@@ -133,10 +133,10 @@ def path(nodes: DataFrame, *steps: tuple[str, Column]) -> DataFrame:
 
 def string_values(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, text): the text nodes inside each context node, in order."""
-    parts = step(context, nodes, "descendant-or-self", F.col("kind") == "text")
-    texts = parts.groupBy("doc_id", "ctx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"]), "").alias("text"))
-    keys = joined(context.select("doc_id", "node_id"), texts.withColumnRenamed("ctx_id", "node_id"), ["doc_id", "node_id"], "left")
-    return keys.select("doc_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = step(context, nodes, "descendant-or-self", F.col("kind") == "text").select("doc_id", F.col("ctx_id").alias("node_id"), F.struct(F.col("node_id").alias("at"), "value").alias("part"))
+    empty = context.select("doc_id", "node_id", F.lit(None).cast("struct<at:int,value:string>").alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["value"]), "")
+    return parts.unionByName(empty).groupBy("doc_id", "node_id").agg(text.alias("text"))
 
 
 def root(context: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -78,3 +78,11 @@ def test_axes_of_a_large_document(large):
             want.append((r.doc_id, r.node_id, at))
             at = rows[r.doc_id, at].parent_id
     assert found == sorted(want)
+
+
+def test_string_values_are_one_join_and_one_group(spark, large):
+    texts = spark.createDataFrame([("d", "<a>1<b>2</b><c/>3</a>")], "id string, x string")
+    nodes = trees.shred(texts, F.col("id"), F.col("x"))
+    values = axes.string_values(nodes.where("kind <> 'text'"), nodes)
+    assert [r.text for r in values.orderBy("node_id").collect()] == ["123", "123", "2", ""]
+    assert values._jdf.queryExecution().executedPlan().toString().partition("\n== Initial Plan ==")[0].count("SortMergeJoin") == 1
