@@ -12,7 +12,7 @@ from sylvan.sources import nodes as trees
 
 SF = "/root/testdata/sf0.001"
 #: Queries that failed on larger tables, as node tables were sent to the driver.
-SENT = ["tree_axis_descendant", "tree_axis_descendant_or_self", "tree_descendants", "tree_expr_compare", "tree_expr_count", "tree_expr_except", "tree_expr_filtered", "tree_expr_join", "tree_expr_not", "tree_expr_or", "tree_expr_siblings", "tree_expr_up"]
+SENT = ["tree_axis_descendant", "tree_axis_descendant_or_self", "tree_descendants", "tree_expr_compare", "tree_expr_count", "tree_expr_except", "tree_expr_filtered", "tree_expr_join", "tree_expr_not", "tree_expr_or", "tree_expr_siblings", "tree_expr_up", "tree_paths"]
 
 
 def _plan(spark, name):
